@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import sys
 import tempfile
 
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -55,3 +57,8 @@ def cut(df: DataFrame) -> DataFrame:
 
 def rounded(col: Column, digits: int = 6) -> Column:
     return F.round(col, digits)
+
+
+def by_value(module: str) -> None:
+    """Send this module's functions to Python workers as code, so that workers need not find the package themselves."""
+    cloudpickle.register_pickle_by_value(sys.modules[module])

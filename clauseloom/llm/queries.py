@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from clauseloom.llm import decontam, licenses, quality
+from clauseloom.llm import decontam, licenses, packing, quality, simhash, suffix_tree, tokencount
 from clauseloom.llm.common import table
 
 
@@ -15,6 +15,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_quality_rules": lambda s, d: quality.op1_quality_rules(table(s, d, "documents")),
         "op2_license_scan": lambda s, d: licenses.op2_license_scan(table(s, d, "documents")),
         "op5_decontamination": lambda s, d: decontam.op5_decontamination(table(s, d, "documents"), table(s, d, "benchmark")),
+        "op7_suffix_tree": lambda s, d: suffix_tree.op7_suffix_tree(table(s, d, "documents")),
+        "op8_token_counts": lambda s, d: tokencount.op8_token_counts(table(s, d, "documents")),
+        "op9_simhash": lambda s, d: simhash.op9_simhash(table(s, d, "documents")),
+        "op10_packing": lambda s, d: packing.op10_packing(table(s, d, "documents")),
     }
 
 
