@@ -9,9 +9,11 @@ from clauseloom.functions import ids
 
 
 def ancestors(clause: Column, own: bool = True) -> Column:
-    """Ids of the clause and all clauses above it, the nearest first, cut from the id at its dots."""
-    n = F.size(F.split(clause, r"\."))
-    return F.transform(F.sequence(F.lit(0 if own else 1), F.greatest(n - 1, F.lit(0 if own else 1))), lambda k: F.substring_index(clause, ".", n - k)) if own else F.filter(ancestors(clause), lambda x: x != clause)
+    """Ids of the clause (if ``own``) and all clauses above it, the top one first, cut from the id at its dots."""
+    segments = F.split(clause, r"\.")
+    last = F.size(segments) - (0 if own else 1)
+    paths = F.transform(F.sequence(F.lit(1), F.greatest(last, F.lit(1))), lambda k: F.array_join(F.slice(segments, F.lit(1), k), "."))
+    return F.when(last >= 1, paths).otherwise(F.array().cast("array<string>"))
 
 
 def subtree_sums(clauses: DataFrame, clause: str = "id", weight: Column | None = None, extra: list[Column] | None = None) -> DataFrame:
