@@ -64,7 +64,8 @@ def contamination(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id",
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text", **kw) -> DataFrame:
     """``docs`` without the contaminated documents; all others stay as they are."""
     bad = contamination(docs, benchmark, doc_id, text, **kw).filter("contaminated").select(F.col("doc_id").alias("bid"), F.col("th").alias("bth"))
-    return docs.join(bad, docs[doc_id].eqNullSafe(F.col("bid")) & (F.xxhash64(docs[text]) == F.col("bth")), "left_anti")
+    row = docs.select(F.struct(*docs.columns).alias("row"), F.col(doc_id).alias("rid"), F.xxhash64(F.col(text)).alias("rth"))
+    return row.join(bad, F.col("rid").eqNullSafe(F.col("bid")) & (F.col("rth") == F.col("bth")), "left_anti").select("row.*")
 
 
 def op5_decontamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:

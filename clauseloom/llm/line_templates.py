@@ -76,7 +76,7 @@ def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", max
     n = F.when(F.col("lines").isNull(), F.lit(0)).otherwise(F.size(F.split(t, "\n", -1)) - F.size(left))
     new = F.when(F.col("lines").isNull(), t).otherwise(F.array_join(left, "\n"))
     done = both.select("row", new.alias("new"), n.cast("long").alias("n_dropped"))
-    return done.select(*[F.col("new").alias(c) if c == text else F.length("new").cast("long").alias(c) if c == "n_chars" else F.col(f"row.{c}").alias(c) for c in docs.columns], "n_dropped")
+    return done.select(*[F.col("new").alias(c) if c == text else F.length("new").cast("long").alias(c) if c == "n_chars" else F.col(f"row.{c}").alias(c) for c in docs.columns if c != "n_dropped"], "n_dropped")
 
 
 def op3_line_templates(docs: DataFrame) -> DataFrame:

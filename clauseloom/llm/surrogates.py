@@ -183,7 +183,7 @@ def replace_pii(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", key
     changed = both.select("row", F.array_join(woven, "").alias("new"), F.size("mentions").cast("long").alias("n_entities"))
     same = read.filter(F.size("mentions") == 0).select("row", F.col(f"row.{text}").alias("new"), F.lit(0).cast("long").alias("n_entities"))
     done = changed.unionByName(same)
-    return done.select(*[F.col("new").alias(c) if c == text else F.length("new").cast("long").alias(c) if c == "n_chars" else F.col(f"row.{c}").alias(c) for c in docs.columns], "n_entities")
+    return done.select(*[F.col("new").alias(c) if c == text else F.length("new").cast("long").alias(c) if c == "n_chars" else F.col(f"row.{c}").alias(c) for c in docs.columns if c != "n_entities"], "n_entities")
 
 
 def op6_pii_surrogates(docs: DataFrame) -> DataFrame:

@@ -1,0 +1,422 @@
+"""Each operator against a plain version, and on nulls, empty and long texts, ties, repeated rows, odd columns, no rows."""
+
+import hashlib
+import html
+import math
+import random
+import re
+import zlib
+from collections import Counter, defaultdict
+
+import pytest
+
+pytest.importorskip("clauseloom.llm")
+
+import corpus_pipeline
+from clauseloom.llm import decontam, licenses, line_templates, packing, quality, queries, simhash, suffix_tree, surrogates, tokencount, wrapper
+
+ASCII = str.maketrans({chr(c): chr(c + 32) for c in range(65, 91)})
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, th long, k string, id string, row string, w string, h int, n_dropped int, fp long"
+
+
+def blank(text):
+    return re.findall(r"[^\x20\x09-\x0D]+", text or "")
+
+
+def alnum(text):
+    return re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (text or "").translate(ASCII))
+
+
+def make_texts(seed=7):
+    rnd = random.Random(seed)
+    words = ["the", "of", "Ärger", "éa", "ing", "TION", "x1", "b.c", "naïve", "ß", "日本", "re", "stat", "on,", "and"]
+    prose = lambda n: " ".join(rnd.choice(words) + str(rnd.randrange(40)) * (rnd.random() < 0.5) for _ in range(n))
+    texts = [None, "", " ", "\n\n", "a", "one two three four", prose(9), prose(10), "\t".join(["a b c d e"] * 3), prose(5000)]
+    texts += [prose(rnd.randrange(12, 80)) + "\n" + prose(rnd.randrange(12, 50)) for _ in range(60)]
+    texts += [texts[20], texts[20], texts[21] + " tail", "word " * 300]
+    texts += ["All rights reserved. " + prose(20), "Licensed under CC BY-NC 4.0. cc by cc by", "Released under the MIT License.\n" + prose(30)]
+    return texts
+
+
+@pytest.fixture(scope="module")
+def texts():
+    return make_texts()
+
+
+@pytest.fixture(scope="module")
+def docs(spark, texts):
+    rows = [(i, t, "en", "h%d" % (i % 3), len(t or ""), 1, "k", None, "r", "w", 0, 5, 9) for i, t in enumerate(texts)]
+    rows += [rows[15], rows[15], (None, texts[16], None, None, None) + (None,) * 8, (None, None, None, None, None) + (None,) * 8]
+    return spark.createDataFrame(rows, SCHEMA).repartition(3).cache()
+
+
+def by_row(rows, key="doc_id"):
+    out = defaultdict(list)
+    for r in rows:
+        out[r[key]].append(r)
+    return out
+
+
+# --- 1 ---------------------------------------------------------------------------------------------------------------
+def profile(text):
+    w = blank(text)
+    grams = [tuple(w[i : i + 5]) for i in range(len(w) - 4)]
+    times, covered = Counter(grams), set()
+    for i, g in enumerate(grams):
+        if times[g] > 1:
+            covered.update(range(i, i + 5))
+    lines = [x for x in (text or "").split("\n") if blank(x)]
+    return len(w), sum(map(len, w)), len(re.findall(r"[#*$%&|<>]", text or "")), len(lines) - len(set(lines)), len(covered)
+
+
+def test_quality_profile(docs, texts):
+    got = by_row(quality.op1_quality_rules(docs).collect())
+    for i, t in enumerate(texts):
+        e = profile(t)
+        for r in got[i]:
+            assert (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words) == e
+            assert r.base_failed == (e[0] < 10 or 100 * e[4] > 20 * e[0])
+    assert len(got[15]) == 3 and len(got[None]) == 2
+
+
+def test_quality_line_frequency(spark):
+    line = "This common line of the host has quite a few words in it"
+    own = lambda i: " ".join(f"own{i}x{k}" for k in range(12))
+    rows = [(i, line, "a") for i in range(1)] + [(i, f"{line}\n{own(i)}", "a") for i in range(1, 30)] + [(i, f"{own(i)}\n{line}", "b") for i in range(100, 115)]
+    # thirty texts that are nothing but shared lines
+    rows += [(i, "\n".join(f"shared {k % 7} words are here to be long enough for it" for k in (i, i + 1, i + 2)) + f"\nz{i}", "c") for i in range(200, 300)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = {r.doc_id: r for r in quality.verdicts(df).collect()}
+    assert got[0].removed_chars == 0 and all(got[i].removed_chars > 0 and got[i].kept for i in range(1, 30))
+    assert all(got[i].kept and got[i].removed_chars == 0 for i in range(100, 115))
+    assert sum(not got[i].kept for i in range(200, 300)) > 80
+    out = {r.doc_id: r.text for r in quality.apply_quality(df).collect()}
+    assert out[5] == own(5) and line in out[0] and set(out) == {k for k, r in got.items() if r.kept}
+    empty = df.limit(0)
+    assert quality.verdicts(empty).count() == 0 and quality.apply_quality(empty).columns == df.columns
+
+
+# --- 2 ---------------------------------------------------------------------------------------------------------------
+def scanned(text):
+    w = alnum(text)
+    idf, postings = licenses.index()
+    found = []
+    for s in range(len(w)):
+        for label, notice, key in licenses.TEMPLATES:
+            n, k = notice.split(), key.split()
+            lead = next(i for i in range(len(n)) if n[i : i + len(k)] == k)
+            hit = [s + j < len(w) and w[s + j] == x for j, x in enumerate(n)]
+            if all(hit[lead : lead + len(k)]) and any(h and x in postings for h, x in zip(hit, n)):
+                score = sum(idf[x] for h, x in zip(hit, n) if h) / sum(idf[x] for x in n)
+                if round(score, 6) >= licenses.MIN_SCORE:
+                    found.append((label, min(1.0, round(score, 6))))
+    starts = [(i, lab) for p, lab in licenses.BASE.items() for i in range(len(w)) if w[i : i + len(p.split())] == p.split()]
+    base = sorted({x for _, x in starts})
+    return len(w), len(starts), min((i for i, _ in starts), default=None), max((i for i, _ in starts), default=None), ",".join(base), ",".join(sorted({*base, *(x for x, _ in found)})), 1.0 if starts else max((s for _, s in found), default=0.0)
+
+
+def test_licenses(spark, docs, texts):
+    notices = [f"{x} before. {n.upper() if i % 2 else n} - after" for i, (x, (_, n, _)) in enumerate(zip("abcdefghijklmnopqrstuvwxyz", licenses.TEMPLATES))] + ["mit license mit license", "the MIT license of mine", " ".join(n for _, n, _ in licenses.TEMPLATES) * 3]
+    df = spark.createDataFrame(list(enumerate(notices)), "doc_id long, text string")
+    for frame, given in ((docs, texts), (df, notices)):
+        got = by_row(licenses.op2_license_scan(frame).collect())
+        for i, t in enumerate(given):
+            for r in got[i]:
+                e = scanned(t)
+                assert tuple(r)[1:7] == e[:6] and r.score == pytest.approx(e[6], abs=1e-5), t
+    assert all(r.labels for r in licenses.scan_licenses(df).filter("doc_id < 18").collect())
+    assert licenses.scan_licenses(df.limit(0)).count() == 0
+
+
+# --- 3 ---------------------------------------------------------------------------------------------------------------
+def test_line_templates(spark, docs):
+    rows = [(i, f"First line number {i} is here for user{i}\nUnique {' '.join(f'q{i}w{k}' for k in range(i % 5 + 3))} end\nLogged in: user name{chr(97 + i % 26)}{chr(97 + i // 26)} ok now") for i in range(60)]
+    rows += [(900, "Logged in: user somebody ok now"), (901, None), (902, "")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r for r in line_templates.dedup_lines(df).collect()}
+    assert got[0].n_dropped == 0 and got[0].text == rows[0][1]
+    for i in range(1, 60):
+        assert got[i].n_dropped == 2 and got[i].text == rows[i][1].split("\n")[1]
+    assert got[900].text == "" and got[900].n_dropped == 1 and got[901].text is None and got[902].text == ""
+    assert line_templates.op3_line_templates(docs).count() == docs.count()
+    assert line_templates.dedup_lines(docs.limit(0)).count() == 0
+
+
+def test_line_templates_leave_rare_lines(spark):
+    rows = [(i, f"Alpha beta common tail for all\nown {i}") for i in range(20)]
+    df = spark.createDataFrame(rows + rows[:5], "doc_id long, text string")
+    assert {r.n_dropped for r in line_templates.dedup_lines(df).collect()} == {0}
+
+
+# --- 4 ---------------------------------------------------------------------------------------------------------------
+PAGE = """<!DOCTYPE html><html><head><title>T {i}</title><script>var t="</p>";</script></head><body class="x"><header><h2>Site {i}</h2></header><nav><ul><li>n{i}</li></ul></nav>
+<div class="cookie-notice">We use cookies {i}</div><div id="sidebar">side {i}</div><article><h1>Head {i}</h1><p><b>One &amp; two {i}<br><p>Three&nbsp;four
+{i}</p><form>mail {i}</form><aside>aside {i}</aside><p class="note2">Share this page</p></article><section class="comments"><p>reader {i}</p></section><footer>foot {i}</footer>"""
+
+
+def test_wrapper(spark):
+    rows = [(i, f"http://www.a.com/{i}", PAGE.replace("{i}", str(i))) for i in range(12)]
+    rows += [(50, None, None), (51, "x", ""), (52, "http://b.org/1", "plain <i>text</i> &lt;x&gt;"), (53, "http://b.org/2", "<div>only<div>nested" * 3000), (54, "http://b.org/3", "<p>cut <a href='"), (3, "http://www.a.com/3", PAGE.replace("{i}", "3"))]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(4)
+    got = by_row(wrapper.op4_wrapper_induction(df).collect(), "page_id")
+    for i in range(1, 12):
+        assert {r.text for r in got[i]} == {f"Head {i} One & two {i} Three four {i}"}, got[i]
+    assert len(got[3]) == 2 and got[50][0].text == "" and got[51][0].n_chars == 0 and got[52][0].text == "plain text <x>"
+    assert got[54][0].text == "cut" and got[53][0].text.startswith("only nested")
+    assert wrapper.extract(df.limit(0)).count() == 0
+
+
+def test_tree_matching():
+    a, b = wrapper.Folded("<div><p>a</p><ul><li>x</ul></div>"), wrapper.Folded("<div><h1>t</h1><p>a</p><p>b</p><ul><li>y</ul></div>")
+    names = {(a.labels[x], b.labels[y]) for x, y in wrapper.matched(a, b)}
+    assert names == {("#", "#"), ("div", "div"), ("p", "p"), ("ul", "ul"), ("li", "li")}
+
+
+def test_pages_of_the_test_data(spark):
+    pages = spark.read.parquet("/root/testdata/sf0.001/pages.parquet")
+    got = {r.page_id: r.text for r in wrapper.extract(pages).collect()}
+    for r in pages.collect():
+        inside = re.search(r"<article>(.*?)</article>", r.html, re.S)[1]
+        parts = (re.sub(r"\s+", " ", html.unescape(re.sub(r"<[^>]+>", "", x))).strip() for x in re.split(r"<(?:/?p|/?h1|br|/?article)>", inside))
+        assert got[r.page_id] == " ".join(x for x in parts if x)
+
+
+# --- 5 ---------------------------------------------------------------------------------------------------------------
+def contaminated(text, items):
+    windows = defaultdict(set)
+    for i, t in items:
+        w = alnum(t)
+        for k in range(max(1, len(w) - 12) if w else 0):
+            windows[tuple(w[k : k + 13])].add(i)
+    w, covered, found = alnum(text), set(), set()
+    for n in {len(k) for k in windows}:
+        for k in range(len(w) - n + 1):
+            if tuple(w[k : k + n]) in windows:
+                covered.update(range(k, k + n))
+                found |= windows[tuple(w[k : k + n])]
+    ids = ",".join(sorted(str(i) for i in found))
+    return len(w), len(covered), len(found), hashlib.sha256(ids.encode()).hexdigest(), bool(covered) and 20 * len(covered) >= len(w)
+
+
+@pytest.mark.parametrize("max_broadcast", [10**6, 0])
+def test_decontamination(spark, docs, texts, max_broadcast):
+    items = [(1, " ".join(alnum(texts[12])[3:30])), (2, "one TWO three"), (3, None), (4, "..."), (10, " ".join(alnum(texts[12])[5:18])), (11, "word word")]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    got = by_row(decontam.contamination(docs, bench, max_broadcast=max_broadcast).collect())
+    for i, t in enumerate(texts):
+        for r in got[i]:
+            assert (r.n_words, r.n_hit, r.n_items, r.items_sha256, r.contaminated) == contaminated(t, items)
+    assert len(got[15]) == 3 and len(got[None]) == 2
+    left = decontam.drop_contaminated(docs, bench, max_broadcast=max_broadcast)
+    assert left.columns == docs.columns and left.count() == sum(not r.contaminated for rs in got.values() for r in rs)
+    assert decontam.contamination(docs, bench.limit(0)).filter("n_hit > 0").count() == 0
+    assert decontam.contamination(docs.limit(0), bench).count() == 0
+
+
+# --- 6 ---------------------------------------------------------------------------------------------------------------
+def test_surrogates(spark, docs):
+    rows = [(1, "a the.72@mail3.example.com, +1 (017) 555-7713 x 169.122.221.182 4952935900253052"), (2, 'Mr. John SMITH met Mr Smith. TOKEN = "9233A8ECF7C5B09FE5949719B6B82BC439E9329B"!!'), (3, None), (4, ""), (5, "4952-9359-0025-3052"), (6, "Frau Анна Иванова, Mrs Anna Lee"), (5, "4952-9359-0025-3052")]
+    got = by_row(surrogates.replace_pii(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    one, two, five = got[1][0].text, got[2][0].text, got[5][0].text
+    m = re.fullmatch(r"a (\w+)\.(\d\d)@mail3\.example\.com, \+1 \((\d{3})\) (\d{3})-(\d{4}) x (\d+\.\d+\.\d+\.\d+) (\d{16})", one)
+    assert m and m[1] != "the" and "017) 555-7713" not in one and all(0 < int(o) < 255 for o in m[6].split("."))
+    assert five.replace("-", "") == m[7] != rows[4][1].replace("-", "") and [r.n_entities for r in got[5]] == [1, 1] and got[5][0].text == got[5][1].text
+    n = re.fullmatch(r'Mr\. ([A-Z]\w+) ([A-Z]+) met Mr ([A-Z][a-z]+)\. TOKEN = "([0-9A-F]{40})"!!', two)
+    assert n and n[2] == n[3].upper() and n[1].endswith("n") and got[3][0].text is None and got[4][0].text == ""
+    assert re.fullmatch(r"Frau [А-Яа-я]+на [А-Яа-я]+, Mrs [A-Z][a-z]+na [A-Z][a-z]+", got[6][0].text)
+    assert surrogates.replace_pii(docs).count() == docs.count() and surrogates.replace_pii(docs.limit(0)).count() == 0
+
+
+def test_surrogates_stay_distinct(spark):
+    rows = [(i, f"Mr {chr(65 + i % 26)}{chr(97 + i // 26 % 26)}{chr(97 + i // 676)}x called 10.0.{i // 250}.{i % 250}") for i in range(3000)]
+    given = surrogates.assign(spark.createDataFrame([("last", r[1].split()[1].lower()) for r in rows] + [("ip", r[1].split()[-1]) for r in rows], "kind string, norm string")).collect()
+    assert len(given) == 6000 == len({(r.kind, r.surrogate) for r in given})
+    real = {(r.kind, r.norm) for r in given}
+    assert not real & {(r.kind, r.surrogate) for r in given}
+
+
+# --- 7 ---------------------------------------------------------------------------------------------------------------
+def test_suffix_tree(spark, docs, texts):
+    got = by_row(suffix_tree.op7_suffix_tree(docs).collect())
+    tokens = lambda t: blank((t or "").translate(ASCII)) + ["\n"]
+    every = [(r.doc_id, r.text) for r in docs.collect()]
+    held = lambda i: zlib.crc32(("" if i is None else str(i)).encode()) % 7 == 2
+    counts = Counter(x for i, t in every if not held(i) for x in tokens(t))
+    n, v = sum(counts.values()), len(counts)
+    for i, t in enumerate(texts):
+        for r in got[i]:
+            w = tokens(t)
+            assert (r.held_out, r.n_tokens, r.n_known, r.train_tokens) == (held(i), len(w), sum(counts[x] > 0 for x in w), n)
+            assert r.base_score == pytest.approx(sum(math.log10((counts[x] + 1) / (n + v + 1)) for x in w), abs=1e-6) and r.score < 0
+    assert len(got[15]) == 3 and suffix_tree.lm_scores(docs.limit(0)).count() == 0
+
+
+def test_suffix_tree_predicts_held_out_text(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    got = suffix_tree.lm_scores(docs).filter("held_out").selectExpr("sum(score) s", "sum(n_tokens) n", "sum(octet_length(cast(n_tokens as string))) x").first()
+    chars = docs.selectExpr("sum(octet_length(text)) c", "count(*) n").first()
+    assert got.s / got.n > -10 and chars.c > 0
+
+
+def test_tree_is_a_distribution():
+    rnd = random.Random(3)
+    text = [[bytes(rnd.choice(b"abcde") for _ in range(rnd.randrange(1, 6))) for _ in range(50)] for _ in range(40)]
+    stream, starts = suffix_tree._streams(text)
+    codes = suffix_tree.run_codes(stream, starts)
+    import numpy as np
+
+    levels = [tuple(x.astype(np.int64 if k == 0 else np.float64) for k, x in enumerate(np.unique(codes & ((1 << 8 * (d + 1)) - 1), return_counts=True))) for d in range(5)]
+    tree = suffix_tree.Tree(levels, min_gain=1.0)
+    assert np.allclose((10.0 ** tree.log.astype(np.float64)).sum(axis=1), 1, atol=1e-4) and len(tree.log) > 5
+    # the longest retained suffix decides
+    total = tree.scores(stream, starts)
+    slow = []
+    for words in text:
+        s, score = [int(tree.symbol[b]) for b in b" ".join(words) + b"\xff"], 0.0
+        for i, x in enumerate(s):
+            past = ([0] * 4 + s[:i])[-4:]
+            state = next(tree.tables[d][c] for d in (4, 3, 2, 1, 0) if tree.tables[d][c := sum(p << (6 * k) for k, p in enumerate(reversed(past[4 - d :])))] >= 0)
+            score += float(tree.log[state, x])
+        slow.append(score)
+    assert np.allclose(total, slow, atol=1e-3)
+
+
+# --- 8 ---------------------------------------------------------------------------------------------------------------
+def test_token_counts(spark, docs, texts):
+    import public_tokenizers
+    import sentencepiece
+
+    model = sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path(tokencount.MODEL))
+    rnd = random.Random(1)
+    odd = ["".join(rnd.choice("ab \t\n▁é的x  the ing12<s>　\xa0\x00") for _ in range(rnd.randrange(400))) for _ in range(150)] + ["a" * 3000, "ab" * 500, " " * 400, "▁", "éa" * 200, "<s></s><unk>"]
+    counter = tokencount.Counter(public_tokenizers.path(tokencount.MODEL))
+    assert counter.count(odd) == [len(x) for x in model.encode(odd)]
+    got = by_row(tokencount.op8_token_counts(docs).collect())
+    for i, t in enumerate(texts):
+        for r in got[i]:
+            n = len(model.encode(t or ""))
+            assert (r.n_bytes, r.n_tokens, r.over_limit) == (len((t or "").encode()), n, n > 4096)
+    assert len(got[None]) == 2 and tokencount.token_counts(docs.limit(0)).count() == 0
+
+
+# --- 9 ---------------------------------------------------------------------------------------------------------------
+def fingerprint(text):
+    import xxhash
+
+    w = blank((text or "").translate(ASCII))
+    grams = [" ".join(w[i : i + 3]) for i in range(max(1, len(w) - 2))] if w else []
+    h = [xxhash.xxh64_intdigest(g.encode(), 42) for g in grams]
+    return sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h))
+
+
+def joined(prints):
+    parent = {i: i for i in prints}
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a in prints:
+        for b in prints:
+            if a < b and (prints[a] ^ prints[b]).bit_count() <= 3:
+                x, y = find(a), find(b)
+                parent[max(x, y)] = min(x, y)
+    return {i: find(i) for i in prints}
+
+
+@pytest.mark.parametrize("max_run", [50_000, 2])
+def test_simhash(docs, texts, max_run):
+    prints = {i: fingerprint(t) for i, t in enumerate(texts)}
+    roots = joined(prints)
+    rows = simhash.near_duplicates(docs, max_run=max_run).collect()
+    for r in rows:
+        if r.doc_id is not None:
+            assert (r.fingerprint, r.component_id) == (f"{prints[r.doc_id]:016x}", roots[r.doc_id])
+    assert len(rows) == docs.count() and simhash.op9_simhash(docs.limit(0)).count() == 0
+    kept = simhash.keep_first(docs, shingle=3)
+    assert kept.columns == docs.columns and sorted(r.doc_id for r in kept.collect()) == sorted(set(roots.values()))
+
+
+def test_links_of_a_chain(spark):
+    rnd = random.Random(5)
+    values = [rnd.getrandbits(64)]
+    for _ in range(300):
+        values.append(values[-1] ^ sum(1 << b for b in rnd.sample(range(64), 3)))
+    values += [rnd.getrandbits(64) for _ in range(200)]
+    fps = spark.createDataFrame([(v - (1 << 64) if v >> 63 else v,) for v in set(values)], "fp long")
+    for run in (50_000, 3):
+        sizes = [r[0] for r in simhash.components(simhash.links(fps, max_run=run)).groupBy("root").count().select("count").collect()]
+        assert sizes == [301]
+
+
+# --- 10 --------------------------------------------------------------------------------------------------------------
+def test_best_fill():
+    rnd = random.Random(2)
+    for _ in range(200):
+        counts = {rnd.randrange(1, 60): rnd.randrange(1, 4) for _ in range(rnd.randrange(1, 6))}
+        room, sums = rnd.randrange(0, 150), {0}
+        for k, n in counts.items():
+            sums = {s + k * j for s in sums for j in range(n + 1)}
+        taken = packing.best_fill(counts, room)
+        assert all(taken[k] <= counts[k] for k in taken) and sum(k * n for k, n in taken.items()) == max(s for s in sums if s <= room)
+
+
+def test_packing(docs):
+    import numpy as np
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    tokenizer = Tokenizer.from_file(public_tokenizers.path(packing.TOKENIZER))
+    rows, texts = packing.op10_packing(docs).collect(), [(r.doc_id, r.text) for r in docs.collect()]
+    want = Counter()
+    sequences, pieces = defaultdict(list), Counter()
+    ids = {i: np.array([*tokenizer.encode(t or "", add_special_tokens=False).ids, 1], dtype="<u4") for i, t in texts if i is not None}
+    for i, t in texts:
+        want[i] += len(tokenizer.encode(t or "", add_special_tokens=False).ids) + 1
+    for r in rows:
+        sequences[r.sequence_id].append((r.offset, r.length))
+        pieces[r.doc_id] += r.length
+        if r.doc_id is not None:
+            assert r.doc_tokens == len(ids[r.doc_id]) and r.ids_crc32 == zlib.crc32(ids[r.doc_id][r.start : r.start + r.length].tobytes())
+    assert pieces == want
+    padding = 0
+    for parts in sequences.values():
+        at = 0
+        for offset, length in sorted(parts):
+            assert offset == at
+            at += length
+        assert at <= 2048
+        padding += 0 if at & (at - 1) == 0 else 2048 - at
+    assert padding == 0 and packing.pack(docs.limit(0)).count() == 0
+
+
+def test_encoder_equals_the_library(texts):
+    import numpy as np
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path(packing.TOKENIZER)
+    given = [t or "" for t in texts] + ["a\x1cb c", "<|endoftext|>x <|startoftext|>", "ΣΑΣ Σ", "é ́", "it's 's I'll", "\x85 \xa0b"]
+    assert packing.encoder(path)(given) == [np.array(x.ids, dtype="<u4").tobytes() for x in Tokenizer.from_file(path).encode_batch(given, add_special_tokens=False)]
+
+
+# --- pipeline and queries ----------------------------------------------------------------------------------------------
+def test_pipeline(spark, tmp_path):
+    assert [n for n, _ in corpus_pipeline.STAGES] == ["quality_rules", "line_dedup", "near_dedup", "decontamination", "packing"]
+    d = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{d}/documents.parquet")
+    for k, (_, stage) in enumerate(corpus_pipeline.STAGES):
+        out = stage(spark, docs, d)
+        if k < 4:
+            assert out.columns == docs.columns
+        out.write.parquet(str(tmp_path / str(k)))
+        docs, before = spark.read.parquet(str(tmp_path / str(k))), docs
+        assert k == 4 or docs.join(before.select("doc_id"), "doc_id", "left_anti").count() == 0
+    kept = spark.read.parquet(str(tmp_path / "3")).select("doc_id").distinct().collect()
+    assert {r.doc_id for r in docs.select("doc_id").distinct().collect()} == {r.doc_id for r in kept}
+
+
+def test_every_operator_is_registered():
+    names = queries.queries()
+    assert [sum(n.startswith(f"op{k}_") for n in names) for k in range(1, 11)] == [1] * 10
