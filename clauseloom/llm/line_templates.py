@@ -43,10 +43,11 @@ def _leaf(line: Column) -> Column:
 def recurring_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", max_docs: int = MAX_DOCS, min_constant: float = MIN_CONSTANT) -> DataFrame:
     """(id, th, lines): per document and text hash, the hashes of masked lines to drop; no row if there are none."""
     read = docs.select(F.col(doc_id).alias("id"), F.xxhash64(F.col(text)).alias("th"), F.array_distinct(F.array_remove(masked_lines(F.col(text)), "")).alias("lines"))
-    # leaves that enough different texts reach; only hashes move
-    leaves = read.select("th", F.explode(F.array_distinct(F.transform("lines", _leaf))).alias("leaf"))
+    # leaves that enough different texts reach; only hashes move. explode_outer, as for explode Spark would add a filter
+    # on the array's size and so make the array twice
+    leaves = read.select("th", F.explode_outer(F.array_distinct(F.transform("lines", _leaf))).alias("leaf")).filter("leaf is not null")
     reached = leaves.distinct().groupBy("leaf").count().filter(F.col("count") > max_docs).select(F.col("leaf").alias("rl"))
-    each = read.select("id", "th", F.explode("lines").alias("line")).withColumn("leaf", _leaf(F.col("line")))
+    each = read.select("id", "th", F.explode_outer("lines").alias("line")).filter("line is not null").withColumn("leaf", _leaf(F.col("line")))
     lines = cut(each.join(reached, F.col("leaf") == F.col("rl"), "left_semi").select("id", "th", "leaf", "line").distinct())
     # one row per different line, with its number of different texts
     kinds = lines.groupBy("leaf", "line", "th").agg(F.min("id").alias("id")).groupBy("leaf", "line").agg(F.count("*").alias("docs"))
@@ -73,8 +74,9 @@ def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", max
     both = row.join(gone, F.col("rid").eqNullSafe(F.col("gid")) & (F.col("rth") == F.col("gth")), "left")
     t = F.col(f"row.{text}")
     left = F.filter(F.zip_with(F.split(t, "\n", -1), masked_lines(t), lambda s, m: F.when(~F.array_contains("lines", F.xxhash64(m)), s)), lambda s: s.isNotNull())
-    n = F.when(F.col("lines").isNull(), F.lit(0)).otherwise(F.size(F.split(t, "\n", -1)) - F.size(left))
-    new = F.when(F.col("lines").isNull(), t).otherwise(F.array_join(left, "\n"))
+    both = both.select("row", F.when(F.col("lines").isNotNull(), left).alias("left"))
+    n = F.when(F.col("left").isNull(), F.lit(0)).otherwise(F.size(F.split(t, "\n", -1)) - F.size("left"))
+    new = F.when(F.col("left").isNull(), t).otherwise(F.array_join("left", "\n"))
     done = both.select("row", new.alias("new"), n.cast("long").alias("n_dropped"))
     return done.select(*[F.col("new").alias(c) if c == text else F.length("new").cast("long").alias(c) if c == "n_chars" else F.col(f"row.{c}").alias(c) for c in docs.columns if c != "n_dropped"], "n_dropped")
 

@@ -81,8 +81,8 @@ def removed_lines(docs: DataFrame, doc_id: str = "doc_id", host: str = "source",
     """
     rows = docs.select(
         F.col(doc_id).alias("id"), F.xxhash64(F.col(text)).alias("th"),
-        F.explode(F.array_distinct(F.filter(line_hashes(F.col(host), F.col(text)), lambda x: x.isNotNull()))).alias("x"),
-    )
+        F.explode_outer(F.array_distinct(F.filter(line_hashes(F.col(host), F.col(text)), lambda x: x.isNotNull()))).alias("x"),
+    ).filter("x is not null")  # explode would add a filter on the array's size and so make the array twice
     held = rows.select("x.k", "id", "th", "x.c").distinct()
     texts = held.groupBy("k", "th").agg(F.count("*").alias("copies"), F.min("id").alias("id"))  # the count keeps ``held`` one shared exchange
     frequent = (
