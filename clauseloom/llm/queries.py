@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from clauseloom.llm import decontam, licenses, line_templates, packing, quality, simhash, suffix_tree, surrogates, tokencount, wrapper
+from clauseloom.llm import decontam, licenses, line_templates, oracles, packing, quality, simhash, suffix_tree, surrogates, tokencount, wrapper
 from clauseloom.llm.common import table
 
 
@@ -26,4 +26,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {
+        "op1_quality_rules": oracles.quality_sql(),
+        "op2_license_scan": oracles.licenses_sql(),
+        "op5_decontamination": oracles.decontamination_sql(),
+    }
