@@ -42,7 +42,7 @@ def sentences(text: Column) -> Column:
     """Sentences of a text, trimmed, in order. Null for null; no sentence for a blank text."""
     flat = F.concat(F.lit(" "), F.replace(text, F.lit("\n"), F.lit(" ")))
     marked = F.regexp_replace(flat, f"({_END})", f"$1{_STOP}")
-    return F.filter(F.transform(F.split(marked, _STOP), F.trim), lambda s: s != "")
+    return F.filter(F.transform(F.split(marked, _STOP), lambda s: F.trim(s)), lambda s: s != "")
 
 
 def joined(lines: Column) -> Column:

@@ -68,10 +68,10 @@ def top_k(queries: DataFrame, nodes: DataFrame, k: int = 10, block: int = BLOCK)
     """
     nq = max(1, -(-queries.count() // block))
     nn = max(1, -(-nodes.count() // block))
-    domains = nodes.select("domain").distinct()
+    domains = nodes.select("domain").distinct().select(F.col("domain").alias("domain"))
     q = queries.withColumn("qb", F.pmod(F.xxhash64("qid"), F.lit(nq)).cast("int")).join(F.broadcast(domains))
     q = q.withColumn("nb", F.explode(F.sequence(F.lit(0), F.lit(nn - 1))))
-    n = nodes.withColumn("nb", F.pmod(F.xxhash64("nid"), F.lit(nn)).cast("int")).withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(nq - 1))))
+    n = nodes.select(*[F.col(c).alias(c) for c in nodes.columns]).withColumn("nb", F.pmod(F.xxhash64("nid"), F.lit(nn)).cast("int")).withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(nq - 1))))
 
     def best(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         empty = pd.DataFrame({"qid": [], "domain": [], "nid": [], "score": []})

@@ -12,10 +12,10 @@ DEFAULTS = {"parent": "", "digits": 3, "partShift": 0, "partDigits": 0, "name":
 
 def lines(spark: SparkSession, path: str, glob: str | None = None) -> DataFrame:
     """(path, line_no, line): numbered lines of each file, read as whole files so that numbers are stable."""
-    reader = spark.read.option("wholetext", True)
+    reader = spark.read
     if glob:
         reader = reader.option("pathGlobFilter", glob)
-    text = reader.text(path).select(F.input_file_name().alias("path"), "value")
+    text = reader.text(path, wholetext=True).select(F.input_file_name().alias("path"), "value")
     return text.select("path", F.posexplode(F.split("value", r"\r?\n", -1)).alias("line_no", "line"))
 
 
@@ -29,7 +29,7 @@ def _setting(body: Column, name: str) -> Column:
 
 def standards(spark: SparkSession, path: str) -> DataFrame:
     """std_key, parent, digits, part_shift, part_digits, name, original_year, volumes: one row per standard file."""
-    body = spark.read.option("wholetext", True).text(path).select(file_name(F.input_file_name()).alias("std_key"), "value")
+    body = spark.read.text(path, wholetext=True).select(file_name(F.input_file_name()).alias("std_key"), "value")
     number = lambda n: F.coalesce(_setting(F.col("value"), n).try_cast("int"), F.lit(DEFAULTS[n]))
     structure = F.regexp_extract("value", r"(?s)\bstructure=\((.*?)\n\)", 1)
     return body.select(
@@ -149,7 +149,7 @@ def cached_texts(rows: DataFrame) -> DataFrame:
 
 def mappings(spark: SparkSession, path: str) -> DataFrame:
     """from_std, to_std, type, note, from_uid, from_label, to_label, to_uid of mapping files."""
-    body = spark.read.option("wholetext", True).text(path)
+    body = spark.read.text(path, wholetext=True)
     parts = [_setting(F.col("value"), n).alias(a) for n, a in (("from", "from_std"), ("to", "to_std"), ("type", "type"), ("note", "note"))]
     rows = body.select(*parts, F.explode(F.split("value", r"\r?\n")).alias("line")).withColumn("f", F.split("line", ";", -1)).filter(F.size("f") == 4)
     return rows.select("from_std", "to_std", "type", "note", *[F.trim(F.get("f", F.lit(k))).alias(n) for k, n in enumerate(("from_uid", "from_label", "to_label", "to_uid"))])

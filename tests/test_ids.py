@@ -28,7 +28,7 @@ def test_wide_segments(spark):
 
 def test_annex_with_type_and_number(spark):
     (r,) = parsed(spark, "2-9:mA.1", part_shift=1)
-    assert (r.type, r.index, r.level, r.uid) == ("m", "A.1", "3.9.1", "30A01000000")
+    assert (r.type, r["index"], r.level, r.uid) == ("m", "A.1", "3.9.1", "30A01000000")
 
 
 def test_supplement_part(spark):
@@ -40,13 +40,13 @@ def test_colliding_uids_are_reported(spark):
     df = spark.createDataFrame([("S", "N 1", "2025", 0, 12, 0, 0, "r7.2.2.4.1 r7.2.2.4.10")], "std_key string, name string, year string, original_year int, digits int, part_shift int, part_digits int, items string")
     rows = ids.parse_items(ids.expand_items(df))
     (c,) = ids.uid_collisions(rows).collect()
-    assert c.uid == "070202410000" and len(c.clause_ids) == 2
+    assert c.uid == "070202041000" and len(c.clause_ids) == 2
     assert {r.clause_id[-1]: r.warning for r in rows.collect()} == {"1": None, "0": "multi-digit sub-level"}
 
 
 def test_too_many_levels_warn(spark):
     (r,) = parsed(spark, "1.1.1.1.1.1.1", digits=30)
-    assert r.warning == "too many levels" and r.index == "1.1.1.1.1.1"
+    assert r.warning == "too many levels" and r["index"] == "1.1.1.1.1.1"
 
 
 IDS = ["IEC 61508-1:2010 7.2.1", "EN 50129:2018 ZZ", "ISO PAS 8926:2024 4", "IEC 61508-0:2005 0", "ISO/TS 5083:2025 1", "IEC 61508-3-1:2016 1", "", None]
