@@ -28,30 +28,37 @@ from clauseloom.llm.common import by_value, cut
 SHINGLE = 3
 DISTANCE = 3
 MAX_RUN = 50_000
+#: Words of a wide fingerprint, and how many of its first 256 bits may differ (39 are expected at a similarity of 0.8).
+WIDE = 16
+WIDE_DISTANCE = 46
 #: Bounds of the six blocks.
 BLOCKS = [(0, 11), (11, 22), (22, 33), (33, 44), (44, 54), (54, 64)]
 LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 
 
-def fingerprints_of(texts: list[str | None], shingle: int = SHINGLE) -> np.ndarray:
-    """Signed 64-bit fingerprints. Bits are counted in slabs of 2^15 hashes, so a long text takes no more memory."""
+def fingerprints_of(texts: list[str | None], shingle: int = SHINGLE, width: int = 1) -> np.ndarray:
+    """Signed fingerprints of ``width`` 64-bit words each (without that axis for one word).
+
+    The first word counts the bits of the shingles' hashes, each further one those of the hashes mixed once more. Bits
+    are counted in slabs of 2^15 hashes, so a long text takes no more memory.
+    """
     import xxhash
 
     digest = xxhash.xxh64_intdigest
-    out = np.zeros(len(texts), dtype=np.uint64)
     weights = np.uint64(1) << np.arange(64, dtype=np.uint64)
     hashes: list[int] = []
     owners: list[int] = []
     lengths: list[int] = []
-    sums = np.zeros((len(texts), 64), dtype=np.int64)
+    sums = np.zeros((width, len(texts), 64), dtype=np.int64)
     totals = np.zeros(len(texts), dtype=np.int64)
 
     def count() -> None:
         if not hashes:
             return
-        bits = np.unpackbits(np.array(hashes, dtype="<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-        starts = np.concatenate([[0], np.cumsum(lengths)[:-1]])
-        np.add.at(sums, owners, np.add.reduceat(bits, starts, axis=0, dtype=np.int64))
+        h, starts = np.array(hashes, dtype="<u8"), np.concatenate([[0], np.cumsum(lengths)[:-1]])
+        for w in range(width):
+            bits = np.unpackbits((h if w == 0 else mixed(h, w)).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+            np.add.at(sums[w], owners, np.add.reduceat(bits, starts, axis=0, dtype=np.int32))
         np.add.at(totals, owners, lengths)
         hashes.clear(), owners.clear(), lengths.clear()
 
@@ -73,9 +80,17 @@ def fingerprints_of(texts: list[str | None], shingle: int = SHINGLE) -> np.ndarr
             if len(hashes) >= 1 << 15:
                 count()
     count()
-    set_bits = 2 * sums > totals[:, None]
-    out = (set_bits * weights).sum(axis=1, dtype=np.uint64)
-    return out.view(np.int64)
+    set_bits = 2 * sums > totals[None, :, None]
+    out = (set_bits * weights).sum(axis=2, dtype=np.uint64).T
+    return np.ascontiguousarray(out[:, 0] if width == 1 else out).view(np.int64)
+
+
+def mixed(h: np.ndarray, k: int) -> np.ndarray:
+    """Hashes derived from hashes: a multiplication and shifts with a different constant for each ``k``."""
+    x = h + np.uint64(0x9E3779B97F4A7C15 * k & 0xFFFFFFFFFFFFFFFF)
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
 
 
 def fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = SHINGLE) -> DataFrame:
@@ -92,13 +107,13 @@ def fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", sh
 
 
 def forest(values: np.ndarray, distance: int) -> list[tuple[int, int]]:
-    """Links that connect whatever is connected by Hamming distances up to ``distance`` within ``values``."""
-    rest, links = values, []
+    """Positions in ``values`` (rows of words) whose links connect whatever Hamming distances up to ``distance`` connect."""
+    rest, links = np.arange(len(values)), []
     while len(rest):
         queue, rest = [rest[0]], rest[1:]
         while queue and len(rest):
             x = queue.pop()
-            near = np.bitwise_count(rest ^ x) <= distance
+            near = np.bitwise_count(values[rest] ^ values[x]).sum(axis=1, dtype=np.int32) <= distance
             if near.any():
                 found = rest[near]
                 links += [(int(x), int(y)) for y in found]
@@ -107,43 +122,58 @@ def forest(values: np.ndarray, distance: int) -> list[tuple[int, int]]:
     return links
 
 
-def links_in_runs(distance: int = DISTANCE):
-    """mapInArrow function over rows (key columns..., fp) sorted by key: the links of each run of equal keys."""
+def node_of(words: np.ndarray) -> np.ndarray:
+    """One 64-bit name for each row of words; of a single word, itself."""
+    out = words[:, 0].copy()
+    for k in range(1, words.shape[1]):
+        out = mixed(out, k) ^ words[:, k]
+    return out
+
+
+def links_in_runs(distance: int = DISTANCE, width: int = 1):
+    """mapInArrow function over rows (key columns..., words...) sorted by key: the links (of nodes) of each run of equal keys."""
 
     def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last: tuple | None = None
         held: list[np.ndarray] = []
 
+        def linked(values: np.ndarray) -> list[tuple[int, int]]:
+            values = np.unique(values, axis=0)
+            if len(values) < 2:
+                return []
+            names = node_of(values).tolist()
+            return [(names[x], names[y]) for x, y in forest(values, distance)]
+
         def close() -> list[tuple[int, int]]:
-            values = np.unique(np.concatenate(held)) if held else np.zeros(0, np.uint64)
-            return forest(values, distance) if len(values) > 1 else []
+            out = linked(np.concatenate(held)) if held else []
+            held.clear()
+            return out
 
         for batch in batches:
             if not batch.num_rows:
                 continue
-            keys = [batch.column(i).to_numpy() for i in range(batch.num_columns - 1)]
-            fp = batch.column(batch.num_columns - 1).to_numpy().view(np.uint64)
-            change = np.zeros(len(fp) - 1, dtype=bool)
+            n = batch.num_columns - width
+            keys = [batch.column(i).to_numpy() for i in range(n)]
+            words = np.stack([batch.column(i).to_numpy().view(np.uint64) for i in range(n, batch.num_columns)], axis=1)
+            change = np.zeros(len(words) - 1, dtype=bool)
             for k in keys:
                 change |= k[1:] != k[:-1]
-            bounds = np.concatenate([[0], np.flatnonzero(change) + 1, [len(fp)]])
+            bounds = np.concatenate([[0], np.flatnonzero(change) + 1, [len(words)]])
             out: list[tuple[int, int]] = []
             first = tuple(k[0] for k in keys)
             if last is not None and first != last:
                 out += close()
-                held.clear()
             if len(bounds) > 2:
-                held.append(fp[: bounds[1]])
+                held.append(words[: bounds[1]])
                 out += close()
-                held.clear()
                 lengths = np.diff(bounds)
                 twos = bounds[1:-2][lengths[1:-1] == 2]
-                a, b = fp[twos], fp[twos + 1]
-                near = (np.bitwise_count(a ^ b) <= distance) & (a != b)
-                out += zip(a[near].tolist(), b[near].tolist(), strict=True)
+                far = np.bitwise_count(words[twos] ^ words[twos + 1]).sum(axis=1, dtype=np.int32)
+                near = twos[(far <= distance) & (far > 0)]
+                out += zip(node_of(words[near]).tolist(), node_of(words[near + 1]).tolist(), strict=True)
                 for i in np.flatnonzero(lengths[1:-1] > 2) + 1:
-                    out += forest(np.unique(fp[bounds[i] : bounds[i + 1]]), distance)
-            held.append(fp[bounds[-2] :])
+                    out += linked(words[bounds[i] : bounds[i + 1]])
+            held.append(words[bounds[-2] :])
             last = tuple(k[-1] for k in keys)
             if out:
                 yield _links(out)
@@ -168,17 +198,22 @@ def links(fps: DataFrame, distance: int = DISTANCE, max_run: int = MAX_RUN) -> D
         mask = sum(((1 << hi) - 1) ^ ((1 << lo) - 1) for lo, hi in (BLOCKS[i] for i in choice))
         masks.append(mask - (1 << 64) if mask >= 1 << 63 else mask)
     keyed = fps.select("fp", F.explode(F.array(*[F.struct(F.lit(k).alias("c"), F.col("fp").bitwiseAND(F.lit(m)).alias("m")) for k, m in enumerate(masks)])).alias("x")).select("x.c", "x.m", "fp")
+    return bucket_links(keyed, ["fp"], distance, max_run)
+
+
+def bucket_links(keyed: DataFrame, words: list[str], distance: int, max_run: int = MAX_RUN) -> DataFrame:
+    """Distinct links within buckets (c, m) of rows with ``words``; crowded buckets are cut into pairs of chunks."""
     crowded = cut(keyed.groupBy("c", "m").count().filter(F.col("count") > max_run).select("c", "m", F.ceil(F.col("count") / max_run).cast("int").alias("chunks")))
     split = not crowded.isEmpty()
     plain = keyed.join(crowded, ["c", "m"], "left_anti") if split else keyed
-    rows = plain.select("c", "m", F.lit(0).alias("i"), F.lit(0).alias("j"), "fp")
+    rows = plain.select("c", "m", F.lit(0).alias("i"), F.lit(0).alias("j"), *words)
     if split:
-        own = F.pmod(F.xxhash64("fp"), F.col("chunks")).cast("int")
-        dealt = keyed.join(crowded, ["c", "m"]).select("c", "m", "fp", own.alias("o"), F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("other"))
-        rows = rows.unionByName(dealt.select("c", "m", F.least("o", "other").alias("i"), F.greatest("o", "other").alias("j"), "fp"))
+        own = F.pmod(F.xxhash64(*words), F.col("chunks")).cast("int")
+        dealt = keyed.join(crowded, ["c", "m"]).select("c", "m", *words, own.alias("o"), F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("other"))
+        rows = rows.unionByName(dealt.select("c", "m", F.least("o", "other").alias("i"), F.greatest("o", "other").alias("j"), *words))
     key = ["c", "m", "i", "j"]
-    n = int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return rows.repartition(n, *key).sortWithinPartitions(*key).mapInArrow(links_in_runs(distance), "a bigint, b bigint").distinct()
+    n = int(keyed.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return rows.repartition(n, *key).sortWithinPartitions(*key).mapInArrow(links_in_runs(distance, len(words)), "a bigint, b bigint").distinct()
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -211,12 +246,48 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     return fp.join(whole, fp["fp"] == F.col("of")).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "fp")
 
 
-def keep_first(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = 5, distance: int = DISTANCE) -> DataFrame:
-    """``docs`` with one row of each component: that of the smallest id (of equal ids, one row)."""
-    found = near_duplicates(docs, doc_id, text, shingle, distance)
-    kept = found.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id", "fp").distinct()
-    named = docs.select(F.struct(*docs.columns).alias("row"), F.col(doc_id).alias("rid"))
-    one = named.join(kept.select(F.col("doc_id").alias("kid")).distinct(), F.col("rid").eqNullSafe(F.col("kid")), "left_semi")
+def wide_fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = 5) -> DataFrame:
+    """(doc_id, node, keys, f0..f3): 1,024 bits as 64 keys of 16 bits, and the first 256 of them for the distances."""
+    names = ["doc_id", "node", "keys", "f0", "f1", "f2", "f3"]
+
+    def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 500):
+                part = batch.slice(at, 500)
+                words = fingerprints_of(part.column(1).to_pylist(), shingle, WIDE).view(np.uint64)
+                keys = pa.ListArray.from_arrays(pa.array(np.arange(len(words) + 1, dtype=np.int32) * 4 * WIDE), pa.array(words.astype("<u8").view("<u2").reshape(-1).astype(np.int32)))
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(node_of(words[:, :4]).view(np.int64)), keys, *[pa.array(words[:, k].view(np.int64)) for k in range(4)]], names)
+
+    kind = docs.select(doc_id).dtypes[0][1]
+    schema = f"doc_id {kind}, node bigint, keys array<int>, f0 bigint, f1 bigint, f2 bigint, f3 bigint"
+    return docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text")).mapInArrow(make, schema)
+
+
+def similar_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = 5, distance: int = WIDE_DISTANCE, max_run: int = MAX_RUN) -> DataFrame:
+    """(doc_id, component_id) for documents whose shingle sets have a similarity (Jaccard) of about 0.8 or more.
+
+    At that similarity some 15 % of the bits differ, far more than blocks of 64 bits can bridge. So fingerprints of
+    1,024 bits are used: two documents that share any of 64 blocks of 16 bits are candidates (a pair at 0.8 shares one
+    with probability 0.99, at 0.85 with more than 0.999) and are verified by the Hamming distance of 256 bits.
+    """
+    wide = cut(wide_fingerprints(docs, doc_id, text, shingle))
+    words = ["f0", "f1", "f2", "f3"]
+    nodes = wide.groupBy("node").agg(F.min("doc_id").alias("least"))
+    one = wide.select("node", "keys", *words).dropDuplicates(["node"])
+    keyed = one.select(F.posexplode("keys").alias("c", "m"), *words).select("c", F.col("m").cast("long").alias("m"), *words)
+    roots = cut(components(bucket_links(keyed, words, distance, max_run)).withColumnRenamed("node", "of"))
+    rooted = nodes.join(roots, F.col("node") == F.col("of"), "left").select("node", "least", F.coalesce("root", "node").alias("root"), F.col("root").isNotNull().alias("linked"))
+    named = rooted.filter("linked").groupBy("root").agg(F.min("least").alias("component_id"))
+    whole = rooted.join(named, "root", "left").select(F.col("node").alias("of"), F.coalesce("component_id", "least").alias("component_id"))
+    return wide.select("doc_id", "node").join(whole, F.col("node") == F.col("of")).select("doc_id", "component_id")
+
+
+def keep_first(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = 5, distance: int = WIDE_DISTANCE) -> DataFrame:
+    """``docs`` with one row of each group of similar documents: that of the smallest id (of equal ids, one row)."""
+    found = similar_documents(docs, doc_id, text, shingle, distance)
+    kept = found.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("kid")).distinct()
+    row = docs.select(F.struct(*docs.columns).alias("row"), F.col(doc_id).alias("rid"))
+    one = row.join(kept, F.col("rid").eqNullSafe(F.col("kid")), "left_semi")
     # partitioned as the null-safe join deals the rows, so that the texts are dealt once
     order = Window.partitionBy(F.coalesce("rid", F.lit(0).cast(docs.select(doc_id).dtypes[0][1])), F.isnull("rid")).orderBy(F.xxhash64(f"row.{text}"))
     return one.withColumn("n", F.row_number().over(order)).filter("n = 1").select("row.*")

@@ -334,8 +334,32 @@ def test_simhash(docs, texts, max_run):
         if r.doc_id is not None:
             assert (r.fingerprint, r.component_id) == (f"{prints[r.doc_id]:016x}", roots[r.doc_id])
     assert len(rows) == docs.count() and simhash.op9_simhash(docs.limit(0)).count() == 0
-    kept = simhash.keep_first(docs, shingle=3)
-    assert kept.columns == docs.columns and sorted(r.doc_id for r in kept.collect()) == sorted(set(roots.values()))
+
+
+def test_similar_documents(spark, docs):
+    rnd = random.Random(11)
+    texts, edits = [], {}
+    for k in range(60):
+        words = [f"w{rnd.randrange(5000)}" for _ in range(200)]
+        texts.append(" ".join(words))
+        n = rnd.choice([0, 1, 2, 3, 30])
+        for at in rnd.sample(range(200), n):
+            words[at] = f"new{at}"
+        texts.append(" ".join(words))
+        edits[2 * k] = n
+    sets = [{tuple(t.split()[i : i + 5]) for i in range(196)} for t in texts]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for run in (50_000, 3):
+        got = {r.doc_id: r.component_id for r in simhash.similar_documents(df, max_run=run).collect()}
+        for k in range(0, 120, 2):
+            similar = len(sets[k] & sets[k + 1]) / len(sets[k] | sets[k + 1])
+            assert got[k] == k
+            if similar >= 0.85 or similar < 0.5:
+                assert (got[k + 1] == k) == (similar >= 0.85), similar
+    kept = simhash.keep_first(docs)
+    ids = [r.doc_id for r in kept.collect()]
+    assert kept.columns == docs.columns and len(ids) == len(set(ids)) and {0, 6, 8, 9} <= set(ids) and not {1, 2, 3, 70, 71} & set(ids)
+    assert simhash.keep_first(docs.limit(0)).count() == 0
 
 
 def test_links_of_a_chain(spark):
