@@ -33,6 +33,14 @@ def text_weight(lines: Column) -> Column:
     return F.coalesce(F.length(F.array_join(lines, " ")), F.lit(0)).cast("long")
 
 
+def context_paths(clauses: DataFrame, separator: str = "->") -> DataFrame:
+    """(clause_id, path): headings of clauses (clause_id, heading) from the top down to the clause itself."""
+    up = clauses.select(F.col("clause_id").alias("of"), F.posexplode(ancestors(F.col("clause_id"))).alias("at", "above"))
+    named = up.join(clauses.select(F.col("clause_id").alias("above"), "heading"), "above")
+    ordered = named.groupBy(F.col("of").alias("clause_id")).agg(F.sort_array(F.collect_list(F.struct("at", "heading"))).alias("l"))
+    return ordered.select("clause_id", F.array_join(F.transform("l", lambda x: x["heading"]), separator).alias("path"))
+
+
 def attach(clauses: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(edges, orphans) of clauses (clause_id, level): edges (parent_id, child_id); orphans name a parent that isn't there."""
     wanted = clauses.select(F.col("clause_id").alias("child_id"), ids.parent_id(F.col("clause_id"), F.col("level")).alias("parent_id")).filter("parent_id is not null")

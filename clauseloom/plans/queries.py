@@ -59,6 +59,11 @@ def root_clauses(s: SparkSession, d: str) -> DataFrame:
     return tree.roots(c.select("clause_id", p["series"].alias("series"), p["part"].alias("part"), p["level"].alias("level")))[0]
 
 
+@query(f"""WITH {fx.TREE_SQL} SELECT id AS clause_id, list_reduce(list_transform(range(1, len(string_split(id, '.')) + 1), lambda k: 'H ' || array_to_string(list_slice(string_split(id, '.'), 1, k), '.')), lambda a, b: a || '->' || b) AS path FROM tree""")
+def context_paths(s: SparkSession, d: str) -> DataFrame:
+    return tree.context_paths(fx.clause_tree(s, d).select(F.col("id").alias("clause_id"), F.concat(F.lit("H "), "id").alias("heading")))
+
+
 # --- ids --------------------------------------------------------------------------------------------------------------
 @query(f"""WITH {fx.IDS_SQL} SELECT o_orderkey, clause_id, md5(clause_id) AS hash, 'IEC61508' AS series, regexp_extract(clause_id, '-(\\d*):', 1) AS part,
   regexp_extract(clause_id, ':\\d{{4}} (.*)$', 1) AS chapter, CAST(2 AS INTEGER) AS level, regexp_replace(clause_id, '\\.[^.]*$', '') AS parent FROM ids""")
@@ -295,6 +300,30 @@ def structure_rows(s: SparkSession, d: str) -> DataFrame:
     return kept.select("o_orderkey", F.lit(True).alias("accepted")).unionByName(rejects.select("o_orderkey", F.lit(False).alias("accepted")))
 
 
+@query("SELECT s_suppkey AS line_no, 's' || s_suppkey AS src, 's' || (s_suppkey * 3) AS dst, s_suppkey * 3 <= (SELECT max(s_suppkey) FROM supplier) AS known FROM supplier WHERE s_suppkey % 2 = 0")
+def known_relations(s: SparkSession, d: str) -> DataFrame:
+    sup = fx.table(s, d, "supplier")
+    rows = sup.select(F.col("s_suppkey").alias("line_no"), F.when(F.col("s_suppkey") % 2 == 0, F.concat(F.lit("s"), "s_suppkey")).otherwise("nobody").alias("src"), F.concat(F.lit("s"), F.col("s_suppkey") * 3).alias("dst"))
+    kept, rejects = files.known_relations(rows, sup.select(F.concat(F.lit("s"), "s_suppkey").alias("clause_id")))
+    return kept.withColumn("known", F.lit(True)).unionByName(rejects.withColumn("known", F.lit(False)))
+
+
+@query("SELECT p_partkey, CASE WHEN p_partkey % 3 = 0 THEN 'unknown clause' WHEN p_size % 2 = 1 THEN 'length mismatch' ELSE 'ok' END AS status FROM part")
+def weight_findings(s: SparkSession, d: str) -> DataFrame:
+    p = fx.table(s, d, "part")
+    rows = files.parse_weights(p.select(F.col("p_partkey").alias("clause_id"), F.lit("[1, 2]").alias("scatter"), F.lit("[0.5,0.5]").alias("significance")))
+    counts = p.filter("p_partkey % 3 <> 0").select(F.col("p_partkey").alias("clause_id"), (F.col("p_size") % 2 + 2).alias("sentences"))
+    return files.check_weights(rows, counts).select(F.col("clause_id").alias("p_partkey"), "status")
+
+
+@query("SELECT 'S 1.' || p_partkey AS clause_id, 'TOC;' || md5('S 1.' || p_partkey) || ';S 1.' || p_partkey || ';' || CASE WHEN p_size % 2 = 0 THEN p_name ELSE 'Gen' END || ';' || CASE WHEN p_size % 2 = 0 THEN 'r' ELSE 'R' END AS line FROM part")
+def heading_lines(s: SparkSession, d: str) -> DataFrame:
+    alt = F.array(F.struct(F.lit("Gen").alias("heading"), F.lit("generated").alias("status"), F.lit("m").alias("source")))
+    named = F.col("p_size") % 2 == 0
+    c = fx.table(s, d, "part").select(F.concat(F.lit("S 1."), "p_partkey").alias("clause_id"), F.lit("r").alias("type"), F.when(named, F.col("p_name")).otherwise("TOC").alias("display"), alt.alias("alternatives"))
+    return sinks.heading_dump(c.withColumn("dfs_key", F.col("clause_id"))).select(F.col("dfs_key").alias("clause_id"), "line")
+
+
 @query("SELECT p_partkey, [CAST(p_size AS DOUBLE), 1.5::DOUBLE] AS scat FROM part")
 def parsed_weights(s: SparkSession, d: str) -> DataFrame:
     rows = fx.table(s, d, "part").select(F.col("p_partkey").alias("clause_id"), F.concat(F.lit("[ "), "p_size", F.lit(", 1.5]")).alias("scatter"), F.lit("[1]").alias("significance"))
