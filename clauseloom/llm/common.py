@@ -59,6 +59,16 @@ def rounded(col: Column, digits: int = 6) -> Column:
     return F.round(col, digits)
 
 
+def worker_state() -> dict:
+    """What a Python worker keeps from task to task, such as loaded models and their caches."""
+    import types
+
+    return vars(sys.modules.setdefault("_worker_state", types.ModuleType("_worker_state")))
+
+
 def by_value(module: str) -> None:
     """Send this module's functions to Python workers as code, so that workers need not find the package themselves."""
     cloudpickle.register_pickle_by_value(sys.modules[module])
+
+
+by_value(__name__)

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from clauseloom.llm.common import by_value
+from clauseloom.llm.common import by_value, worker_state
 
 MODEL = "piece_bpe_32k.model"
 LIMIT = 4096
@@ -184,7 +184,9 @@ def token_counts(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", mo
     kind = docs.select(doc_id).dtypes[0][1]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counter = Counter(model_path)
+        state = worker_state()
+        counter = state.get(("counter", model_path)) or Counter(model_path)
+        state["counter", model_path] = counter
         for batch in batches:
             for at in range(0, batch.num_rows, 500):
                 part = batch.slice(at, 500)
