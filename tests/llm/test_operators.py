@@ -142,6 +142,45 @@ def test_line_templates(spark, docs):
     assert line_templates.dedup_lines(docs.limit(0)).count() == 0
 
 
+def templates_dropped(docs, most=line_templates.MAX_DOCS):
+    """{doc_id: kept lines} of (doc_id, text) by the definition, with plain dictionaries."""
+    mask = lambda s: re.sub(r"[^ ]*[0-9][^ ]*", "<*>", re.sub(r"[\x20\x09-\x0D]+", " ", s)).strip(" ")
+    lines = {(i, t): [mask(x) for x in (t or "").split("\n")] for i, t in docs}
+    leaf = lambda s: (s.count(" "), " ".join(s.split(" ")[: line_templates.LEAD]))
+    reached = defaultdict(set)
+    for (_, t), ls in lines.items():
+        for s in set(ls) - {""}:
+            reached[leaf(s)].add(t)
+    holders = defaultdict(set)
+    for (_, t), ls in lines.items():
+        for s in set(ls) - {""}:
+            if len(reached[leaf(s)]) > most:
+                holders[s].add(t)
+    count = Counter()
+    for s, ts in holders.items():
+        for at, token in enumerate(s.split(" ")):
+            count[leaf(s), at, token] += len(ts)
+    template = {}
+    for s in holders:
+        general = [x if x != "<*>" and count[leaf(s), at, x] > most else "<*>" for at, x in enumerate(s.split(" "))]
+        if sum(x != "<*>" for x in general) >= line_templates.MIN_CONSTANT * len(general):
+            template[s] = (len(general), " ".join(general))
+    texts, first = defaultdict(set), {}
+    for (i, t), ls in sorted(lines.items(), key=lambda x: x[0][0]):
+        for s in set(ls) & template.keys():
+            texts[template[s]].add(t)
+            first.setdefault(template[s], i)
+    return {i: [x for x, s in zip((t or "").split("\n"), ls, strict=True) if not (s in template and len(texts[template[s]]) > most and first[template[s]] != i)] for (i, t), ls in lines.items()}
+
+
+def test_line_templates_against_the_definition(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    for most in (20, 5):
+        want = templates_dropped([tuple(r) for r in docs.collect()], most)
+        got = line_templates.dedup_lines(docs, max_docs=most).collect()
+        assert {r.doc_id: r.text for r in got} == {i: "\n".join(x) for i, x in want.items()} and any(r.n_dropped for r in got)
+
+
 def test_line_templates_leave_rare_lines(spark):
     rows = [(i, f"Alpha beta common tail for all\nown {i}") for i in range(20)]
     df = spark.createDataFrame(rows + rows[:5], "doc_id long, text string")
@@ -227,6 +266,20 @@ def test_surrogates(spark, docs):
     assert surrogates.replace_pii(docs).count() == docs.count() and surrogates.replace_pii(docs.limit(0)).count() == 0
 
 
+def test_surrogates_replace_all_and_nothing_else(spark):
+    """Outside of the mentions texts stay as they are; no mention is left; equal mentions get equal surrogates, others others."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    pattern = re.compile(r"[\w.]+@[\w.]+\.com|\+1 \(\d{3}\) \d{3}-\d{4}|\b\d{16}\b|\b\d{1,3}(?:\.\d{1,3}){3}\b|\b[0-9a-fA-F]{40}\b", re.I)
+    old, new = {r.doc_id: r.text for r in docs.collect()}, {r.doc_id: r.text for r in surrogates.op6_pii_surrogates(docs).collect()}
+    given = {}
+    for i, t in old.items():
+        a, b = pattern.findall(t), pattern.findall(new[i])
+        assert pattern.split(t) == pattern.split(new[i]) and len(a) == len(b)
+        for x, y in zip(a, b, strict=True):
+            assert x != y and given.setdefault(x.lower(), y.lower()) == y.lower()
+    assert len(set(given.values())) == len(given) > 50
+
+
 def test_surrogates_stay_distinct(spark):
     rows = [(i, f"Mr {chr(65 + i % 26)}{chr(97 + i // 26 % 26)}{chr(97 + i // 676)}x called 10.0.{i // 250}.{i % 250}") for i in range(3000)]
     given = surrogates.assign(spark.createDataFrame([("last", r[1].split()[1].lower()) for r in rows] + [("ip", r[1].split()[-1]) for r in rows], "kind string, norm string")).collect()
