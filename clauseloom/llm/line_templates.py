@@ -29,10 +29,10 @@ MIN_CONSTANT = 0.5
 
 def masked_lines(text: Column) -> Column:
     """Each line of the text as one string of its tokens, joined by spaces, numbers masked; '' for a blank line."""
-    return F.transform(
-        F.split(F.coalesce(text, F.lit("")), "\n", -1),
-        lambda s: F.trim(F.regexp_replace(F.regexp_replace(s, BLANKS, " "), r"[^ ]*[0-9][^ ]*", "<*>")),
-    )
+    lines = F.split(F.coalesce(text, F.lit("")), "\n", -1)
+    # most lines hold no run of blanks and no digit; the replacements are left to those that do
+    even = F.transform(lines, lambda s: F.when(s.rlike(r"[\x09-\x0D]|\x20\x20"), F.regexp_replace(s, BLANKS, " ")).otherwise(s))
+    return F.transform(even, lambda s: F.trim(F.when(s.rlike("[0-9]"), F.regexp_replace(s, r"(?<![^ ])[^ 0-9]*+[0-9][^ ]*", "<*>")).otherwise(s)))
 
 
 def _leaf(line: Column) -> Column:
