@@ -102,12 +102,12 @@ def heading_state(display: Column, alternatives: Column) -> Column:
 
 # --- model replies --------------------------------------------------------------------------------------------------
 #: How a model's reply lists headings (group 1 is kept) and which lines of its replies are chatter.
-REPLY_LINES = {"nemotron": r"^\d+\.\s+\**([^*]+)\**", "extractive": r"^(?:\d+\.\s+)?(.+)$"}
+REPLY_LINES = {"numbered": r"^\d+\.\s+\**([^*]+)\**", "extractive": r"^(?:\d+\.\s+)?(.+)$"}
 REPLY_SKIP = r"(?i)^\s*(?:here (?:is|are)\b.*|sure\b.*|summary:?\s*|\*\*.*\*\*:?\s*)$"
 
 
 def reply_headings(reply: Column, model: str = "extractive") -> Column:
-    pattern = REPLY_LINES.get(model, REPLY_LINES["nemotron"])
+    pattern = REPLY_LINES.get(model, REPLY_LINES["numbered"])
     return F.filter(F.transform(F.split(reply, "\n"), lambda s: F.trim(F.regexp_extract(F.trim(s), pattern, 1))), lambda s: s != "")
 
 

@@ -41,7 +41,7 @@ def test_headings(spark):
 
 
 def test_replies(spark):
-    r = spark.range(1).select(tx.reply_headings(F.lit("1. **Some Heading**\nchatter\n2. Other"), "nemotron").alias("h"), tx.trimmed_reply(F.lit("Here is a summary:\n\nText a\n\nText b\n\n")).alias("t")).first()
+    r = spark.range(1).select(tx.reply_headings(F.lit("1. **Some Heading**\nchatter\n2. Other"), "numbered").alias("h"), tx.trimmed_reply(F.lit("Here is a summary:\n\nText a\n\nText b\n\n")).alias("t")).first()
     assert r.h == ["Some Heading", "Other"] and r.t == ["Text a", "", "Text b"]
 
 
@@ -147,7 +147,7 @@ def test_files(spark, tmp_path):
     cache.write_text("lost\n# c 1\n1. **One**\n\n# c 2\nx\ny\n")
     rows = files.lines(spark, str(cache))
     assert {r.clause_id: r.lines for r in files.cached_texts(rows).collect()} == {"c 1": ["1. **One**"], "c 2": ["x", "y"]}
-    assert [r.heading for r in generate.cached_headings(files.blocks(rows), "nemotron").collect()] == ["One"]
+    assert [r.heading for r in generate.cached_headings(files.blocks(rows), "numbered").collect()] == ["One"]
     m = tmp_path / "mapping1"
     m.write_text('from="A"\nto="B"\ntype="t"\nnote="n"\n12;x;y;034\n')
     maps = files.mappings(spark, str(m))
