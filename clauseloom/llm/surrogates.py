@@ -9,7 +9,9 @@ syllables), phone numbers keep a leading country code.
 
 Collision check: all distinct normal forms of the corpus get their surrogates by attempt 0. If two would share one, the
 smallest keeps it; so does none whose surrogate is some other entity's real value. The others try again with the next
-attempt, until all differ. Only distinct entities take part, in tables of their own.
+attempt, until all differ. Only distinct entities take part, in tables of their own. After ``MAX_ATTEMPTS`` a form is
+taken as crowded (as short numbers or one-letter local parts can be): from then on each attempt lengthens the surrogate
+by one more character (an IPv4 address by one more octet), so that there always are free ones.
 
 Defined edge cases: a null text stays null and has no entity; entities at either end of a text, touching ones and
 repeated ones are all replaced; repeated rows get equal texts; null ids are allowed; an empty table gives an empty table.
@@ -17,6 +19,8 @@ repeated ones are all replaced; repeated rows get equal texts; null ids are allo
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -46,6 +50,14 @@ ANY = "|".join(f"(?:{p})" for p in KINDS.values())
 HINT = rf"[0-9@]|AKIA|(?:ghp|gho|sk|pk)_|(?:{MALE}|{FEMALE}|{NEUTRAL})\.? \p{{Lu}}"
 ONSETS = "b d f g k l m n p r s t v z br dr gr kr pl st tr".split()
 CYRILLIC = "б в г д к л м н п р с т".split()
+LATIN = "abcdefghijklmnopqrstuvwxyz"
+#: Letters by script; letters of any other script become Latin ones.
+SCRIPTS = {
+    "Cyrillic": "абвгдежзиклмнопрстуфхцчшэюя", "Greek": "αβγδεζηθικλμνξοπρστυφχψω", "Arabic": "ابتثجحخدذرزسشصضطظعغفقكلمنهوي", "Hebrew": "אבגדהוזחטיכלמנסעפצקרשת",
+    "Han": "一三上下中主之九二五人今信八六具力化十千卡去口古可右合同名土地型城大天好子安小山工左市平広心手文方日明月有木本東林水火生田白百目石立米虫行見言赤足車里金長門雨青音高",
+    "Hiragana": "あいうえおかきくけこさしすせそたちつてとなにぬねのはひふへほまみむめもやゆよらりるれろわ", "Katakana": "アイウエオカキクケコサシスセソタチツテトナニヌネノハヒフヘホマミムメモヤユヨラリルレロワ",
+    "Hangul": "가나다라마바사아자차카타파하고노도로모보소오조초코토포호구누두루무부수우주추쿠투푸후", "Devanagari": "अआइईउऊएऐओऔकखगघचछजझटठडढणतथदधनपफबभमयरलवशषसह", "Thai": "กขคงจฉชซญดตถทธนบปผฝพฟภมยรลวศสหอฮ",
+}
 
 
 def kind_of(mention: Column) -> Column:
@@ -80,33 +92,33 @@ def _byte(digest: Column, i: Column) -> Column:
 
 def _scramble(text: Column, digest: Column, hexed: Column) -> Column:
     """Digits become digits, letters become letters of their script; hexadecimal text stays hexadecimal."""
+    def any_of(letters: str, x: Column) -> Column:
+        return F.substring(F.lit(letters), F.pmod(x, F.lit(len(letters))) + 1, F.lit(1))
+
     def one(c: Column, i: Column) -> Column:
         x = _byte(digest, i + F.floor(i / 32).cast("int"))
-        return (
-            F.when(hexed & c.rlike("[0-9a-f]"), F.substring(F.lit("0123456789abcdef"), F.pmod(x, F.lit(16)) + 1, F.lit(1)))
-            .when(c.rlike("[0-9]"), F.pmod(x, F.lit(10)).cast("string"))
-            .when(c.rlike("[a-z]"), F.substring(F.lit("abcdefghijklmnopqrstuvwxyz"), F.pmod(x, F.lit(26)) + 1, F.lit(1)))
-            .when(c.rlike(r"\p{IsCyrillic}"), F.substring(F.lit("абвгдежзиклмнопрстуфхцчшэюя"), F.pmod(x, F.lit(27)) + 1, F.lit(1)))
-            .when(c.rlike(r"\p{IsGreek}"), F.substring(F.lit("αβγδεζηθικλμνξοπρστυφχψω"), F.pmod(x, F.lit(24)) + 1, F.lit(1)))
-            .otherwise(c)
-        )
+        out = F.when(hexed & c.rlike("[0-9a-f]"), any_of("0123456789abcdef", x)).when(c.rlike("[0-9]"), F.pmod(x, F.lit(10)).cast("string")).when(c.rlike("[a-z]"), any_of(LATIN, x))
+        for script, letters in SCRIPTS.items():
+            out = out.when(c.rlike(rf"\p{{Is{script}}}"), any_of(letters, x))
+        return out.when(c.rlike(r"\p{L}"), any_of(LATIN, x)).when(c.rlike(r"\p{N}"), F.pmod(x, F.lit(10)).cast("string")).otherwise(c)
 
     return F.array_join(F.transform(F.split(text, ""), one), "")
 
 
-def surrogate(kind: Column, norm: Column, attempt: Column, key: str) -> Column:
-    """Surrogate of a normal form, itself a normal form."""
+def surrogate(kind: Column, norm: Column, attempt: Column, key: str, extra: int = 0) -> Column:
+    """Surrogate of a normal form, itself a normal form; ``extra`` characters longer (octets for an IPv4 address)."""
     d = _digest(kind, norm, attempt, key)
     all_hex = norm.rlike(r"\A[0-9a-f]{32,}\z")
-    plain = _scramble(norm, d, all_hex)
-    local = F.substring_index(norm, "@", 1)
+    longer = F.concat(norm, F.lit("0" * extra))
+    plain = _scramble(longer, d, all_hex)
+    local = F.concat(F.substring_index(norm, "@", 1), F.lit("0" * extra))
     email = F.concat(_scramble(local, d, F.lit(False)), F.lit("@"), F.substring_index(norm, "@", -1))
-    ip = F.array_join(F.transform(F.split(norm, r"\."), lambda o, i: (F.pmod(_byte(d, i), F.lit(254)) + 1).cast("string")), ".")
-    head = F.concat(F.substring(norm, 1, 1), F.substring(plain, F.lit(2), F.greatest(F.length(norm) - 2, F.lit(0))))
+    ip = F.array_join(F.transform(F.split(F.concat(norm, F.lit(".0" * extra)), r"\."), lambda o, i: (F.pmod(_byte(d, i), F.lit(254)) + 1).cast("string")), ".")
+    head = F.concat(F.substring(norm, 1, 1), F.substring(plain, F.lit(2), F.greatest(F.length(longer) - 2, F.lit(0))))
     last = F.filter(F.transform(F.sequence(F.lit(0), F.lit(9)), lambda k: F.pmod(k + _byte(d, F.lit(31)), F.lit(10)).cast("string")), lambda x: F.call_function("luhn_check", F.concat(head, x)) == F.call_function("luhn_check", norm))
     card = F.concat(head, F.get(last, F.lit(0)))
-    code = F.concat(F.substring(norm, 1, 2), _scramble(F.substring(norm, F.lit(3), F.length(norm)), d, F.lit(False)))
-    phone = F.concat(F.substring(norm, 1, 1), F.substring(plain, F.lit(2), F.length(norm)))
+    code = F.concat(F.substring(norm, 1, 2), _scramble(F.substring(longer, F.lit(3), F.length(longer)), d, F.lit(False)))
+    phone = F.concat(F.substring(norm, 1, 1), F.substring(plain, F.lit(2), F.length(longer)))
 
     def syllables(onsets: list[str], vowels: str) -> Column:
         return F.array_join(
@@ -129,21 +141,20 @@ def surrogate(kind: Column, norm: Column, attempt: Column, key: str) -> Column:
 
 def assign(entities: DataFrame, key: str = KEY, max_attempts: int = MAX_ATTEMPTS) -> DataFrame:
     """(kind, norm, surrogate) for distinct (kind, norm): surrogates differ from each other and from all real values."""
-    todo = entities.select("kind", "norm").distinct()
-    real = cut(todo)
+    real = cut(entities.select("kind", "norm").distinct())
     todo, done = real, None
-    for attempt in range(max_attempts):
-        tried = cut(todo.select("kind", "norm", surrogate(F.col("kind"), F.col("norm"), F.lit(attempt), key).alias("surrogate")))
-        taken = real.select("kind", F.col("norm").alias("surrogate")).withColumn("real", F.lit(True))
+    for attempt in count():
+        extra = max(0, attempt - max_attempts + 1)
+        tried = cut(todo.select("kind", "norm", surrogate(F.col("kind"), F.col("norm"), F.lit(attempt), key, extra).alias("surrogate")))
+        taken = real.select("kind", F.col("norm").alias("surrogate"))
         if done is not None:
-            taken = taken.unionByName(done.select("kind", "surrogate").withColumn("real", F.lit(True)))
+            taken = taken.unionByName(done.select("kind", "surrogate"))
         first = tried.groupBy("kind", "surrogate").agg(F.min("norm").alias("norm"))
         good = cut(first.join(taken, ["kind", "surrogate"], "left_anti").select("kind", "norm", "surrogate"))
-        done = good if done is None else cut(done.unionByName(good))
+        done = good if done is None else done.unionByName(good)  # each part is cut; what is done is not written again
         todo = cut(tried.select("kind", "norm").join(good, ["kind", "norm"], "left_anti"))
         if todo.isEmpty():
             return done
-    raise ValueError("some entities are of a form so short that it has no free surrogate left")
 
 
 def render(mention: Column, fills: Column) -> Column:
@@ -160,10 +171,11 @@ def render(mention: Column, fills: Column) -> Column:
         new = F.substring(fill, at, F.lit(1))
         return F.when(c.rlike(r"[\p{L}\p{N}]"), F.when(capitals | c.rlike(r"\p{Lu}"), F.upper(new)).otherwise(new)).otherwise(c)
 
+    rest = F.substring(fill, F.length(_plain(mention)) + 1, F.length(fill))  # of a lengthened surrogate
     local = F.substring_index(mention, "@", 1)
     new_local = F.substring_index(fill, "@", 1)
     email = F.concat(F.when((F.upper(local) == local) & (F.lower(local) != local), F.upper(new_local)).otherwise(new_local), F.lit("@"), F.substring_index(mention, "@", -1))
-    return F.when(kind == "person", person).when(kind == "email", email).when(kind == "ip", fill).otherwise(F.array_join(F.transform(chars, put), ""))
+    return F.when(kind == "person", person).when(kind == "email", email).when(kind == "ip", fill).otherwise(F.concat(F.array_join(F.transform(chars, put), ""), rest))
 
 
 def replace_pii(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", key: str = KEY) -> DataFrame:

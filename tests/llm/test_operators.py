@@ -288,6 +288,26 @@ def test_surrogates_stay_distinct(spark):
     assert not real & {(r.kind, r.surrogate) for r in given}
 
 
+def test_surrogates_of_every_script(spark):
+    names = ["王小明", "محمد", "éèê", "Ñ", "דוד", "やまだ", "キムラ", "김철수", "กขค", "աբգ", "٣٤", "иван"]
+    df = spark.createDataFrame([(i, f"mail {x}@example.com now") for i, x in enumerate(names)], "doc_id long, text string")
+    got = {r.doc_id: r.text for r in surrogates.replace_pii(df).collect()}
+    for i, x in enumerate(names):
+        m = re.fullmatch(r"mail (\w+)@example\.com now", got[i])
+        assert m and m[1].lower() != x.lower() and len(m[1]) >= len(x), got[i]
+
+
+def test_surrogates_of_crowded_forms(spark):
+    """More real values than a form has free surrogates: all still differ from each other and from all real values."""
+    real = [("phone", str(k)) for k in range(1000, 1700)] + [("email", f"{k}@a.com") for k in range(10)] + [("ip", "1.2.3.4")]
+    given = surrogates.assign(spark.createDataFrame(real, "kind string, norm string"), max_attempts=3).collect()
+    assert len(given) == len(real) == len({(r.kind, r.surrogate) for r in given}) and not set(real) & {(r.kind, r.surrogate) for r in given}
+    assert all(r.surrogate[0] == "1" for r in given if r.kind == "phone")
+    F = surrogates.F
+    shown = spark.range(1).select(*[surrogates.render(F.lit(m), F.array(F.lit(f))) for m, f in (("+1500", "123456"), ("+1 (017) 555-7713", "10123456789"), ("A@b.com", "x7@b.com"))]).first()
+    assert tuple(shown) == ("+123456", "+1 (012) 345-6789", "X7@b.com")
+
+
 # --- 7 ---------------------------------------------------------------------------------------------------------------
 def test_suffix_tree(spark, docs, texts):
     got = by_row(suffix_tree.op7_suffix_tree(docs).collect())
