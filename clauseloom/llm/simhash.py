@@ -15,7 +15,7 @@ component's id unless the component has no other; an empty table gives an empty
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator, Sequence
 from itertools import combinations
 
 import numpy as np
@@ -28,29 +28,56 @@ from clauseloom.llm.common import by_value, cut
 SHINGLE = 3
 DISTANCE = 3
 MAX_RUN = 50_000
-#: Words of a wide fingerprint, and how many of its first 256 bits may differ (39 are expected at a similarity of 0.8).
+#: Words of a wide fingerprint, and how many of its first 256 bits may differ for a pair to be compared (39 are expected
+#: at a similarity of 0.8, more than 60 once in some 5,000 pairs).
 WIDE = 16
-WIDE_DISTANCE = 46
+WIDE_DISTANCE = 60
+#: Least similarity (Jaccard) of shingle sets, as a ratio of whole numbers.
+SIMILAR = (4, 5)
+#: Shingles that one side of a comparison holds at a time.
+MAX_SHINGLES = 1 << 21
 #: Bounds of the six blocks.
 BLOCKS = [(0, 11), (11, 22), (22, 33), (33, 44), (44, 54), (54, 64)]
 LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 
 
+def shingles_of(text: str | None, shingle: int = SHINGLE) -> list[int]:
+    """Hashes of the text's shingles, in order; none if there is no word."""
+    import xxhash
+
+    digest = xxhash.xxh64_intdigest
+    words = (text or "").encode("utf-8", "surrogatepass").translate(LOWER).split()
+    if not words:
+        return []
+    if len(words) <= shingle:
+        return [digest(b" ".join(words), 42)]
+    if shingle == 3:
+        return [digest(b"%b %b %b" % x, 42) for x in zip(words, words[1:], words[2:], strict=False)]
+    return [digest(b" ".join(words[i : i + shingle]), 42) for i in range(len(words) - shingle + 1)]
+
+
+def shingle_set(text: str | None, shingle: int) -> np.ndarray:
+    """The sorted set of hashes; of a text without words, that of the empty shingle alone."""
+    return np.unique(np.array(shingles_of(text, shingle) or [0], dtype="<u8"))
+
+
 def fingerprints_of(texts: list[str | None], shingle: int = SHINGLE, width: int = 1) -> np.ndarray:
-    """Signed fingerprints of ``width`` 64-bit words each (without that axis for one word).
+    """Signed fingerprints of ``width`` 64-bit words each (without that axis for one word)."""
+    return bits_of((shingles_of(t, shingle) for t in texts), len(texts), width)
+
+
+def bits_of(shingles: Iterable[Sequence[int]], size: int, width: int = 1) -> np.ndarray:
+    """Fingerprints of ``size`` lists of hashes.
 
     The first word counts the bits of the shingles' hashes, each further one those of the hashes mixed once more. Bits
     are counted in slabs of 2^15 hashes, so a long text takes no more memory.
     """
-    import xxhash
-
-    digest = xxhash.xxh64_intdigest
     weights = np.uint64(1) << np.arange(64, dtype=np.uint64)
     hashes: list[int] = []
     owners: list[int] = []
     lengths: list[int] = []
-    sums = np.zeros((width, len(texts), 64), dtype=np.int64)
-    totals = np.zeros(len(texts), dtype=np.int64)
+    sums = np.zeros((width, size, 64), dtype=np.int64)
+    totals = np.zeros(size, dtype=np.int64)
 
     def count() -> None:
         if not hashes:
@@ -62,16 +89,7 @@ def fingerprints_of(texts: list[str | None], shingle: int = SHINGLE, width: int
         np.add.at(totals, owners, lengths)
         hashes.clear(), owners.clear(), lengths.clear()
 
-    for k, text in enumerate(texts):
-        words = (text or "").encode("utf-8", "surrogatepass").translate(LOWER).split()
-        if not words:
-            continue
-        if len(words) <= shingle:
-            found = [digest(b" ".join(words), 42)]
-        elif shingle == 3:
-            found = [digest(b"%b %b %b" % x, 42) for x in zip(words, words[1:], words[2:], strict=False)]
-        else:
-            found = [digest(b" ".join(words[i : i + shingle]), 42) for i in range(len(words) - shingle + 1)]
+    for k, found in enumerate(shingles):
         for at in range(0, len(found), 1 << 15):
             part = found[at : at + (1 << 15)]
             hashes += part
@@ -247,39 +265,109 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
 
 
 def wide_fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = 5) -> DataFrame:
-    """(doc_id, node, keys, f0..f3): 1,024 bits as 64 keys of 16 bits, and the first 256 of them for the distances."""
-    names = ["doc_id", "node", "keys", "f0", "f1", "f2", "f3"]
+    """(doc_id, th, node, sid, size, keys, f0..f3) of shingle sets: text hash, name of the 256 bits, hash and size of the
+    set, 1,024 bits as 64 keys of 16 bits, and the first 256 of them for the distances."""
+    names = ["doc_id", "th", "node", "sid", "size", "keys", "f0", "f1", "f2", "f3"]
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import xxhash
+
         for batch in batches:
             for at in range(0, batch.num_rows, 500):
                 part = batch.slice(at, 500)
-                words = fingerprints_of(part.column(1).to_pylist(), shingle, WIDE).view(np.uint64)
+                sets = [shingle_set(t, shingle) for t in part.column(2).to_pylist()]
+                sid = np.array([xxhash.xxh64_intdigest(x.tobytes(), 42) for x in sets], dtype=np.uint64).view(np.int64)
+                words = bits_of((x.tolist() if x[-1] else [] for x in sets), len(sets), WIDE).view(np.uint64)
                 keys = pa.ListArray.from_arrays(pa.array(np.arange(len(words) + 1, dtype=np.int32) * 4 * WIDE), pa.array(words.astype("<u8").view("<u2").reshape(-1).astype(np.int32)))
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(node_of(words[:, :4]).view(np.int64)), keys, *[pa.array(words[:, k].view(np.int64)) for k in range(4)]], names)
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(node_of(words[:, :4]).view(np.int64)), pa.array(sid), pa.array([len(x) for x in sets], pa.int64()), keys, *[pa.array(words[:, k].view(np.int64)) for k in range(4)]], names)
 
     kind = docs.select(doc_id).dtypes[0][1]
-    schema = f"doc_id {kind}, node bigint, keys array<int>, f0 bigint, f1 bigint, f2 bigint, f3 bigint"
-    return docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text")).mapInArrow(make, schema)
+    schema = f"doc_id {kind}, th bigint, node bigint, sid bigint, size bigint, keys array<int>, f0 bigint, f1 bigint, f2 bigint, f3 bigint"
+    return docs.select(F.col(doc_id).alias("doc_id"), F.xxhash64(F.col(text)).alias("th"), F.col(text).cast("string").alias("text")).mapInArrow(make, schema)
+
+
+def exact_forest(words: np.ndarray, sets: list[np.ndarray], distance: int) -> list[tuple[int, int]]:
+    """Positions whose links connect whatever pairs are similar and within ``distance``; similarity is that of the sets."""
+    sizes = np.array([len(x) for x in sets])
+    rest, links = np.arange(len(words)), []
+    while len(rest):
+        queue, rest = [rest[0]], rest[1:]
+        while queue and len(rest):
+            x = queue.pop()
+            near = np.flatnonzero(np.bitwise_count(words[rest] ^ words[x]).sum(axis=1, dtype=np.int32) <= distance)
+            if not len(near):
+                continue
+            other = rest[near]
+            every, own = np.concatenate([sets[y] for y in other]), sets[x]
+            hit = own[np.minimum(np.searchsorted(own, every), len(own) - 1)] == every
+            shared = np.add.reduceat(hit, np.concatenate([[0], np.cumsum(sizes[other])[:-1]]), dtype=np.int64)
+            alike = SIMILAR[1] * shared >= SIMILAR[0] * (len(own) + sizes[other] - shared)
+            links += [(int(x), int(y)) for y in other[alike]]
+            queue += list(other[alike])
+            rest = np.delete(rest, near[alike])
+    return links
 
 
-def similar_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = 5, distance: int = WIDE_DISTANCE, max_run: int = MAX_RUN) -> DataFrame:
-    """(doc_id, component_id) for documents whose shingle sets have a similarity (Jaccard) of about 0.8 or more.
+def exact_links(shingle: int, distance: int):
+    """mapInArrow function over (root, i, j, sid, f0..f3, text) sorted by the first three: links of ``sid`` in each run of equal keys."""
 
-    At that similarity some 15 % of the bits differ, far more than blocks of 64 bits can bridge. So fingerprints of
-    1,024 bits are used: two documents that share any of 64 blocks of 16 bits are candidates (a pair at 0.8 shares one
-    with probability 0.99, at 0.85 with more than 0.999) and are verified by the Hamming distance of 256 bits.
+    def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, names, words, sets = None, [], [], []
+
+        def close() -> list[tuple[int, int]]:
+            found = exact_forest(np.array(words, dtype=np.int64).view(np.uint64), sets, distance) if len(names) > 1 else []
+            return [(names[x], names[y]) for x, y in found if names[x] != names[y]]
+
+        for batch in batches:
+            for at in range(0, batch.num_rows, 200):
+                out = []
+                for *key, sid, a, b, c, d, text in zip(*(x.to_pylist() for x in batch.slice(at, 200).columns), strict=True):
+                    if key != last:
+                        out += close()
+                        last, names, words, sets = key, [], [], []
+                    names.append(sid), words.append((a, b, c, d)), sets.append(shingle_set(text, shingle))
+                if out:
+                    yield _links([(x & 0xFFFFFFFFFFFFFFFF, y & 0xFFFFFFFFFFFFFFFF) for x, y in out])
+        out = close()
+        if out:
+            yield _links([(x & 0xFFFFFFFFFFFFFFFF, y & 0xFFFFFFFFFFFFFFFF) for x, y in out])
+
+    return runs
+
+
+def similar_rows(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = 5, distance: int = WIDE_DISTANCE, max_run: int = MAX_RUN, max_shingles: int = MAX_SHINGLES) -> DataFrame:
+    """(doc_id, th, least): per row its text hash and the first (id, text hash) of its component, null ids last.
+
+    Two documents are linked if their shingle sets have a similarity (Jaccard) of 0.8 or more. At that similarity some
+    15 % of the bits differ, far more than blocks of 64 bits can bridge. So fingerprints of 1,024 bits are used: two
+    documents that share any of 64 blocks of 16 bits (a pair at 0.8 with probability 0.99, at 0.85 with more than 0.999)
+    and differ in at most ``distance`` of 256 bits are candidates. Components of candidates bring the texts together, in
+    chunks of bounded size and pairs of chunks; there each link is decided by the sets themselves.
     """
     wide = cut(wide_fingerprints(docs, doc_id, text, shingle))
     words = ["f0", "f1", "f2", "f3"]
-    nodes = wide.groupBy("node").agg(F.min("doc_id").alias("least"))
-    one = wide.select("node", "keys", *words).dropDuplicates(["node"])
-    keyed = one.select(F.posexplode("keys").alias("c", "m"), *words).select("c", F.col("m").cast("long").alias("m"), *words)
-    roots = cut(components(bucket_links(keyed, words, distance, max_run)).withColumnRenamed("node", "of"))
-    rooted = nodes.join(roots, F.col("node") == F.col("of"), "left").select("node", "least", F.coalesce("root", "node").alias("root"), F.col("root").isNotNull().alias("linked"))
-    named = rooted.filter("linked").groupBy("root").agg(F.min("least").alias("component_id"))
-    whole = rooted.join(named, "root", "left").select(F.col("node").alias("of"), F.coalesce("component_id", "least").alias("component_id"))
-    return wide.select("doc_id", "node").join(whole, F.col("node") == F.col("of")).select("doc_id", "component_id")
+    keyed = wide.select("node", "keys", *words).dropDuplicates(["node"]).select(F.posexplode("keys").alias("c", "m"), *words).select("c", F.col("m").cast("long").alias("m"), *words)
+    loose = cut(components(bucket_links(keyed, words, distance, max_run)).withColumnRenamed("node", "of"))
+    sets = wide.groupBy("sid").agg(F.min(F.struct(F.isnull("doc_id").alias("none"), "doc_id", "th")).alias("least"), *[F.first(x).alias(x) for x in ["node", "size", *words]])
+    sets = cut(sets.join(loose, F.col("node") == F.col("of"), "left").select("sid", "least", "size", *words, F.coalesce("root", "node").alias("root")))
+    groups = sets.groupBy("root").agg(F.count("*").alias("n"), F.ceil(F.sum("size") / max_shingles).cast("int").alias("chunks")).filter("n > 1").select(F.col("root").alias("of"), "chunks")
+    live = sets.join(groups, F.col("root") == F.col("of")).select("sid", "root", "chunks", *words, F.col("least.doc_id").alias("lid"), F.col("least.th").alias("lth"))
+    texts = docs.select(F.col(doc_id).alias("id"), F.xxhash64(F.col(text)).alias("th"), F.col(text).cast("string").alias("text"))
+    whole = texts.join(live, F.col("id").eqNullSafe(F.col("lid")) & (F.col("th") == F.col("lth"))).withColumn("o", F.pmod(F.xxhash64("sid"), F.col("chunks")).cast("int"))
+    dealt = whole.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))).select("root", F.least("o", "other").alias("i"), F.greatest("o", "other").alias("j"), "sid", *words, "text")
+    key = ["root", "i", "j"]
+    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    exact = dealt.repartition(n, *key).sortWithinPartitions(*key).mapInArrow(exact_links(shingle, distance), "a bigint, b bigint").distinct()
+    roots = cut(components(exact).select(F.col("node").alias("of"), F.col("root").alias("top")))
+    named = sets.select("sid", "least").join(roots, F.col("sid") == F.col("of"), "left").select("sid", "least", F.coalesce("top", "sid").alias("top"), F.col("top").isNotNull().alias("linked"))
+    firsts = named.filter("linked").groupBy("top").agg(F.min("least").alias("first"))
+    found = named.join(firsts, "top", "left").select(F.col("sid").alias("of"), F.coalesce("first", "least").alias("least"))
+    return wide.select("doc_id", "th", "sid").join(found, F.col("sid") == F.col("of")).select("doc_id", "th", "least")
+
+
+def similar_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = 5, distance: int = WIDE_DISTANCE, max_run: int = MAX_RUN, max_shingles: int = MAX_SHINGLES) -> DataFrame:
+    """(doc_id, component_id): the smallest id of the documents that links of similar shingle sets reach."""
+    return similar_rows(docs, doc_id, text, shingle, distance, max_run, max_shingles).select("doc_id", F.col("least.doc_id").alias("component_id"))
 
 
 def keep_first(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = 5, distance: int = WIDE_DISTANCE) -> DataFrame:

@@ -435,6 +435,29 @@ def test_similar_documents(spark, docs):
     assert simhash.keep_first(docs.limit(0)).count() == 0
 
 
+def test_similar_documents_by_exact_similarity(spark):
+    """Pairs between 0.6 and 0.95, half of them with repeated passages: linked if and only if at 0.8 or more."""
+    rnd = random.Random(12)
+    texts = []
+    for k in range(400):
+        words = [f"w{rnd.randrange(5000)}" for _ in range(200)]
+        if k % 2:
+            words += words[:60] * 3
+        texts.append(" ".join(words))
+        for at in rnd.sample(range(70, 190), rnd.randrange(2, 10)):
+            words[at] = f"new{at}"
+        texts.append(" ".join(words))
+    sets = [{tuple(t.split()[i : i + 5]) for i in range(len(t.split()) - 4)} for t in texts]
+    near = {k: len(sets[k] & sets[k + 1]) / len(sets[k] | sets[k + 1]) for k in range(0, 800, 2)}
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for most in (simhash.MAX_SHINGLES, 150):
+        got = {r.doc_id: r.component_id for r in simhash.similar_documents(df, max_shingles=most).collect()}
+        linked = {k for k in near if got[k + 1] == k}
+        assert not [near[k] for k in linked if near[k] < 0.8]
+        alike = [k for k in near if near[k] >= 0.8]
+        assert sum(near[k] < 0.8 for k in near) > 100 and len(alike) > 100 and sum(k in linked for k in alike) >= 0.97 * len(alike)
+
+
 def test_links_of_a_chain(spark):
     rnd = random.Random(5)
     values = [rnd.getrandbits(64)]
