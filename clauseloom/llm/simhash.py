@@ -371,13 +371,16 @@ def similar_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text
 
 
 def keep_first(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = 5, distance: int = WIDE_DISTANCE) -> DataFrame:
-    """``docs`` with one row of each group of similar documents: that of the smallest id (of equal ids, one row)."""
-    found = similar_documents(docs, doc_id, text, shingle, distance)
-    kept = found.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("kid")).distinct()
-    row = docs.select(F.struct(*docs.columns).alias("row"), F.col(doc_id).alias("rid"))
-    one = row.join(kept, F.col("rid").eqNullSafe(F.col("kid")), "left_semi")
+    """``docs`` with one row of each group of similar documents: the first by id (null ids last), then by text hash.
+
+    Rows of the same id, or without one, whose texts are not similar all stay.
+    """
+    found = similar_rows(docs, doc_id, text, shingle, distance)
+    kept = found.select(F.col("least.doc_id").alias("kid"), F.col("least.th").alias("kth")).distinct()
+    row = docs.select(F.struct(*docs.columns).alias("row"), F.col(doc_id).alias("rid"), F.xxhash64(F.col(text)).alias("rth"))
+    one = row.join(kept, F.col("rid").eqNullSafe(F.col("kid")) & (F.col("rth") == F.col("kth")), "left_semi")
     # partitioned as the null-safe join deals the rows, so that the texts are dealt once
-    order = Window.partitionBy(F.coalesce("rid", F.lit(0).cast(docs.select(doc_id).dtypes[0][1])), F.isnull("rid")).orderBy(F.xxhash64(f"row.{text}"))
+    order = Window.partitionBy(F.coalesce("rid", F.lit(0).cast(docs.select(doc_id).dtypes[0][1])), F.isnull("rid"), "rth").orderBy("rth")
     return one.withColumn("n", F.row_number().over(order)).filter("n = 1").select("row.*")
 
 

@@ -458,6 +458,13 @@ def test_similar_documents_by_exact_similarity(spark):
         assert sum(near[k] < 0.8 for k in near) > 100 and len(alike) > 100 and sum(k in linked for k in alike) >= 0.97 * len(alike)
 
 
+def test_keep_first_keeps_unrelated_rows_of_equal_ids(spark):
+    text = lambda k: " ".join(f"t{k}w{i}" for i in range(40))
+    rows = [(1, text(1)), (1, text(2)), (1, text(1)), (None, text(3)), (None, text(4)), (None, text(3)), (None, text(2)), (2, text(2)), (0, text(4))]
+    kept = simhash.keep_first(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert Counter(map(tuple, kept)) == Counter([(1, text(1)), (1, text(2)), (None, text(3)), (0, text(4))])
+
+
 def test_links_of_a_chain(spark):
     rnd = random.Random(5)
     values = [rnd.getrandbits(64)]
