@@ -2,7 +2,9 @@
 
 Windows are runs of 13 words of a benchmark item, or the whole item if it is shorter. Their hashes are joined to the
 windows of every document; a hit is verified word by word. The benchmark side is broadcast if it has at most
-``MAX_BROADCAST`` windows (checked by a count), else Spark joins by shuffle, with AQE splitting hot windows.
+``MAX_BROADCAST`` windows of ``MAX_BYTES`` bytes in all (checked by an aggregate). Beyond that only hashes move: document
+windows (id, text hash, place, hash) meet benchmark windows (hash) in a shuffle join, whose hits are few; their places go
+back to their documents, where the words are cut out, and meet the benchmark's words by hash and words.
 
 Defined edge cases: a null or wordless document has no hit and is not contaminated; a null or wordless item has no
 window; items with equal text all count; repeated document rows each keep their row; null ids are allowed (as an item
@@ -11,13 +13,14 @@ id: not listed); other columns are ignored; an empty benchmark leaves every docu
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from clauseloom.llm.common import alnum_words
 
 WINDOW = 13
 MAX_BROADCAST = 1_000_000
+MAX_BYTES = 256 << 20
 MIN_SHARE = 20
 
 
@@ -30,7 +33,24 @@ def _windows(df: DataFrame, lengths: list[int], *cols: str) -> DataFrame:
     return coded.select(*cols, "w", at.alias("at"), size.alias("len"), F.xxhash64(size, *[F.when(size > k, F.get("w", at + k)) for k in range(WINDOW)]).alias("h"))
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", max_broadcast: int = MAX_BROADCAST) -> DataFrame:
+def _verified(read: DataFrame, bench: DataFrame, lengths: list[int]) -> tuple[DataFrame, Column, Column]:
+    """Rows as the broadcast join gives them, and when a row is a hit; no row of the joins holds a text's words.
+
+    ``read`` (doc_id, th, w). A row of at = -1 stands for each row of ``read``.
+    """
+    narrow = _windows(read, lengths, "doc_id", "th").filter("at >= 0").select("doc_id", "th", "at", "len", "h").distinct()
+    hashes = bench.select("bh").distinct()
+    places = narrow.join(hashes, F.col("h") == F.col("bh"), "left_semi")
+    by_text = places.groupBy(F.col("doc_id").alias("pid"), F.col("th").alias("pth")).agg(F.collect_list(F.struct("at", "len", "h")).alias("places"))
+    texts = read.dropDuplicates(["doc_id", "th"]).join(by_text, F.col("doc_id").eqNullSafe(F.col("pid")) & (F.col("th") == F.col("pth")))
+    spot = F.col("x")
+    cut = texts.select("doc_id", "th", "w", F.explode("places").alias("x")).select("doc_id", "th", spot["at"].alias("at"), spot["len"].alias("len"), spot["h"].alias("h"), F.slice("w", spot["at"] + 1, spot["len"]).alias("cut"))
+    found = cut.join(bench, (F.col("h") == F.col("bh")) & (F.col("cut") == F.col("words"))).select("doc_id", "th", F.lit(None).cast("int").alias("n"), "at", "len", "items")
+    own = read.select("doc_id", "th", F.size("w").alias("n"), F.lit(-1).alias("at"), F.lit(-1).alias("len"), F.lit(None).cast("array<string>").alias("items"))
+    return own.unionByName(found), F.col("at") >= 0, F.col("n").cast("long")
+
+
+def contamination(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", max_broadcast: int = MAX_BROADCAST, max_bytes: int = MAX_BYTES) -> DataFrame:
     """doc_id, n_words, n_hit, n_items, items_sha256, contaminated: one row per row of ``docs``; and th, the text's hash."""
     items = benchmark.select(F.col(item_id).cast("string").alias("item"), alnum_words(F.col(item_text)).alias("w")).filter(F.size("w") > 0)
     short = [r[0] for r in items.filter(F.size("w") < WINDOW).select(F.size("w")).distinct().collect()]  # at most 12 values
@@ -41,13 +61,16 @@ def contamination(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id",
         .groupBy("h", "words").agg(F.array_sort(F.collect_set("item")).alias("items"))
         .withColumnRenamed("h", "bh")
     )
-    if bench.count() <= max_broadcast:
-        bench = F.broadcast(bench)
+    size = bench.agg(F.count("*").alias("n"), F.sum(F.octet_length(F.array_join("words", " ")) + 8 * F.size("words") + F.octet_length(F.array_join("items", ","))).alias("b")).first()
     read = docs.select(F.col(doc_id).alias("doc_id"), F.xxhash64(F.col(text)).alias("th"), alnum_words(F.col(text)).alias("w"))
-    rows = _windows(read, lengths, "doc_id", "th")
-    joined = rows.join(bench, F.col("h") == F.col("bh"), "left").filter((F.col("at") < 0) | F.col("bh").isNotNull())
-    same = F.col("words").isNotNull() & (F.slice("w", F.greatest(F.col("at"), F.lit(0)) + 1, F.greatest(F.col("len"), F.lit(0))) == F.col("words"))
-    hits = joined.select("doc_id", "th", F.size("w").cast("long").alias("n_words"), F.when(same, F.struct("at", "len")).alias("hit"), F.when(same, F.col("items")).alias("items"), (F.col("at") < 0).alias("own"))
+    if size["n"] <= max_broadcast and (size["b"] or 0) <= max_bytes:
+        rows = _windows(read, lengths, "doc_id", "th")
+        joined = rows.join(F.broadcast(bench), F.col("h") == F.col("bh"), "left").filter((F.col("at") < 0) | F.col("bh").isNotNull())
+        same = F.col("words").isNotNull() & (F.slice("w", F.greatest(F.col("at"), F.lit(0)) + 1, F.greatest(F.col("len"), F.lit(0))) == F.col("words"))
+        n_words = F.size("w").cast("long")
+    else:
+        joined, same, n_words = _verified(read, bench, lengths)
+    hits = joined.select("doc_id", "th", n_words.alias("n_words"), F.when(same, F.struct("at", "len")).alias("hit"), F.when(same, F.col("items")).alias("items"), (F.col("at") < 0).alias("own"))
     grouped = hits.groupBy("doc_id", "th").agg(
         F.max("n_words").alias("n_words"), F.collect_set("hit").alias("hits"), F.collect_set("items").alias("sets"), F.count_if("own").cast("int").alias("copies")
     )

@@ -68,8 +68,10 @@ def encoder(path: str) -> Callable[[list[str]], list[bytes]]:
             some = new[at : at + 2048]
             ids = np.array(tokenizer.encode(" ".join(some), add_special_tokens=False).ids, dtype="<u4")
             cuts = (4 * (np.flatnonzero(ends[ids]) + 1)).tolist()
-            if len(cuts) != len(some):
-                raise ValueError("a pre-token was cut in another way than the tokenizer cuts it")
+            if len(cuts) != len(some):  # some pre-token holds several words of the tokenizer: each is encoded on its own
+                for part, e in zip(some, tokenizer.encode_batch(some, add_special_tokens=False), strict=True):
+                    parts[part] = np.array(e.ids, dtype="<u4").tobytes()
+                continue
             data, start = ids.tobytes(), 0
             for part, end in zip(some, cuts, strict=True):
                 parts[part] = data[start:end]
