@@ -15,6 +15,7 @@ component's id unless the component has no other; an empty table gives an empty
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterable, Iterator, Sequence
 from itertools import combinations
 
@@ -28,16 +29,26 @@ from clauseloom.llm.common import by_value, cut
 SHINGLE = 3
 DISTANCE = 3
 MAX_RUN = 50_000
-#: Words of a wide fingerprint, and how many of its first 256 bits may differ for a pair to be compared (39 are expected
-#: at a similarity of 0.8, more than 60 once in some 5,000 pairs).
+#: Runs up to this length are compared pair by pair, all runs of a batch at once.
+SMALL_RUN = 12
+#: Words of a wide fingerprint, and how many of its first 128 bits may differ for a pair to be compared (19 are expected
+#: at a similarity of 0.8, more than 34 once in some 10,000 pairs; texts that share nothing differ in 64).
 WIDE = 16
-WIDE_DISTANCE = 60
+WIDE_DISTANCE = 34
+#: Share of bits that differ at a similarity of 0.8, and of such pairs, how many are to meet in a block.
+DIFFERENT = 0.148
+RECALL = 0.99
+#: Bits of a block, at least; two more than that for each fourfold of BLOCK_ROWS texts, so that buckets do not grow.
+BLOCK_BITS = 20
+BLOCK_ROWS = 1 << 22
 #: Least similarity (Jaccard) of shingle sets, as a ratio of whole numbers.
 SIMILAR = (4, 5)
 #: Shingles that one side of a comparison holds at a time.
 MAX_SHINGLES = 1 << 21
 #: Bounds of the six blocks.
 BLOCKS = [(0, 11), (11, 22), (22, 33), (33, 44), (44, 54), (54, 64)]
+#: For each byte, its bits from the lowest up as the eight bytes of a word.
+LANES = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").view("<u8").reshape(-1)
 LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 
 
@@ -82,10 +93,13 @@ def bits_of(shingles: Iterable[Sequence[int]], size: int, width: int = 1) -> np.
     def count() -> None:
         if not hashes:
             return
-        h, starts = np.array(hashes, dtype="<u8"), np.concatenate([[0], np.cumsum(lengths)[:-1]])
+        h = np.array(hashes, dtype="<u8")
+        # a byte's bits as eight lanes of a word: runs of up to 255 hashes are summed lane by lane without a carry
+        starts = np.concatenate([np.arange(at, at + n, 255) for at, n in zip(np.cumsum([0, *lengths[:-1]]).tolist(), lengths, strict=True)])
+        of = np.repeat(owners, [-(-n // 255) for n in lengths])
         for w in range(width):
-            bits = np.unpackbits((h if w == 0 else mixed(h, w)).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-            np.add.at(sums[w], owners, np.add.reduceat(bits, starts, axis=0, dtype=np.int32))
+            lanes = LANES[(h if w == 0 else mixed(h, w)).view(np.uint8).reshape(-1, 8)]
+            np.add.at(sums[w], of, np.add.reduceat(lanes, starts, axis=0).view(np.uint8).reshape(len(starts), 64))
         np.add.at(totals, owners, lengths)
         hashes.clear(), owners.clear(), lengths.clear()
 
@@ -140,16 +154,12 @@ def forest(values: np.ndarray, distance: int) -> list[tuple[int, int]]:
     return links
 
 
-def node_of(words: np.ndarray) -> np.ndarray:
-    """One 64-bit name for each row of words; of a single word, itself."""
-    out = words[:, 0].copy()
-    for k in range(1, words.shape[1]):
-        out = mixed(out, k) ^ words[:, k]
-    return out
-
-
 def links_in_runs(distance: int = DISTANCE, width: int = 1):
-    """mapInArrow function over rows (key columns..., words...) sorted by key: the links (of nodes) of each run of equal keys."""
+    """mapInArrow function over rows (key columns..., words...) sorted by key: the links of each run of equal keys.
+
+    A link names the first words of its two rows; if there are more words, the distance is that of the others.
+    """
+    named = width > 1
 
     def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last: tuple | None = None
@@ -159,8 +169,8 @@ def links_in_runs(distance: int = DISTANCE, width: int = 1):
             values = np.unique(values, axis=0)
             if len(values) < 2:
                 return []
-            names = node_of(values).tolist()
-            return [(names[x], names[y]) for x, y in forest(values, distance)]
+            names = values[:, 0].tolist()
+            return [(names[x], names[y]) for x, y in forest(values[:, 1:] if named else values, distance)]
 
         def close() -> list[tuple[int, int]]:
             out = linked(np.concatenate(held)) if held else []
@@ -184,12 +194,15 @@ def links_in_runs(distance: int = DISTANCE, width: int = 1):
             if len(bounds) > 2:
                 held.append(words[: bounds[1]])
                 out += close()
-                lengths = np.diff(bounds)
-                twos = bounds[1:-2][lengths[1:-1] == 2]
-                far = np.bitwise_count(words[twos] ^ words[twos + 1]).sum(axis=1, dtype=np.int32)
-                near = twos[(far <= distance) & (far > 0)]
-                out += zip(node_of(words[near]).tolist(), node_of(words[near + 1]).tolist(), strict=True)
-                for i in np.flatnonzero(lengths[1:-1] > 2) + 1:
+                few, lengths = words[bounds[1] : bounds[-2]], np.diff(bounds[1:-1])
+                run, small = np.repeat(np.arange(len(lengths)), lengths), lengths <= SMALL_RUN
+                bits = few[:, 1:] if named else few
+                for lag in range(1, int(lengths[small].max(initial=1))):  # short runs all at once, each row with the one ``lag`` rows on
+                    at = np.flatnonzero((run[lag:] == run[:-lag]) & small[run[:-lag]])
+                    far = np.bitwise_count(bits[at] ^ bits[at + lag]).sum(axis=1, dtype=np.int32)
+                    near = at[(far <= distance) & (few[at, 0] != few[at + lag, 0])]
+                    out += zip(few[near, 0].tolist(), few[near + lag, 0].tolist(), strict=True)
+                for i in np.flatnonzero(~small) + 1:
                     out += linked(words[bounds[i] : bounds[i + 1]])
             held.append(words[bounds[-2] :])
             last = tuple(k[-1] for k in keys)
@@ -216,13 +229,22 @@ def links(fps: DataFrame, distance: int = DISTANCE, max_run: int = MAX_RUN) -> D
         mask = sum(((1 << hi) - 1) ^ ((1 << lo) - 1) for lo, hi in (BLOCKS[i] for i in choice))
         masks.append(mask - (1 << 64) if mask >= 1 << 63 else mask)
     keyed = fps.select("fp", F.explode(F.array(*[F.struct(F.lit(k).alias("c"), F.col("fp").bitwiseAND(F.lit(m)).alias("m")) for k, m in enumerate(masks)])).alias("x")).select("x.c", "x.m", "fp")
-    return bucket_links(keyed, ["fp"], distance, max_run)
+    return bucket_links(keyed, ["fp"], distance, len(masks) * fps.count(), max_run)
+
 
+def bucket_links(keyed: DataFrame, words: list[str], distance: int, total: int, max_run: int = MAX_RUN) -> DataFrame:
+    """Distinct links within buckets (c, m) of ``total`` rows with ``words``; crowded buckets are cut into pairs of chunks.
 
-def bucket_links(keyed: DataFrame, words: list[str], distance: int, max_run: int = MAX_RUN) -> DataFrame:
-    """Distinct links within buckets (c, m) of rows with ``words``; crowded buckets are cut into pairs of chunks."""
-    crowded = cut(keyed.groupBy("c", "m").count().filter(F.col("count") > max_run).select("c", "m", F.ceil(F.col("count") / max_run).cast("int").alias("chunks")))
-    split = not crowded.isEmpty()
+    Buckets are first counted in so many groups that one without a crowded bucket has an eighth of ``max_run`` rows; nearly
+    always no group reaches ``max_run``, and the buckets themselves need no counting.
+    """
+    group = F.pmod(F.xxhash64("c", "m"), F.lit(max(1, -(-8 * total // max_run))))
+    full = cut(keyed.groupBy(group.alias("g")).count().filter(F.col("count") > max_run).select("g"))
+    split = not full.isEmpty()
+    if split:
+        counted = keyed.withColumn("g", group).join(full, "g", "left_semi").groupBy("c", "m").count().filter(F.col("count") > max_run)
+        crowded = cut(counted.select("c", "m", F.ceil(F.col("count") / max_run).cast("int").alias("chunks")))
+        split = not crowded.isEmpty()
     plain = keyed.join(crowded, ["c", "m"], "left_anti") if split else keyed
     rows = plain.select("c", "m", F.lit(0).alias("i"), F.lit(0).alias("j"), *words)
     if split:
@@ -264,10 +286,27 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     return fp.join(whole, fp["fp"] == F.col("of")).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "fp")
 
 
+def block_plan(rows: int, recall: float = RECALL) -> tuple[int, int]:
+    """(bits of a block, number of blocks) for so many different texts.
+
+    A pair at a similarity of 0.8 shares a given block of b bits with probability (1 - DIFFERENT) ** b; there are as many
+    blocks as it takes for ``recall``. With the rows the bits grow by their logarithm, and the blocks by their 0.23rd power.
+    """
+    bits = BLOCK_BITS + max(0, math.ceil(math.log2(max(rows, 1) / BLOCK_ROWS)))
+    return bits, math.ceil(math.log(1 - recall) / math.log1p(-((1 - DIFFERENT) ** bits)))
+
+
+def block_bits(bits: int, blocks: int) -> np.ndarray:
+    """Which bits of a wide fingerprint each block takes: rounds through all of them in ever new orders, always the same."""
+    rng, order = np.random.default_rng(20), []
+    while len(order) < bits * blocks:
+        order += rng.permutation(64 * WIDE).tolist()
+    return np.array(order[: bits * blocks]).reshape(blocks, bits)
+
+
 def wide_fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = 5) -> DataFrame:
-    """(doc_id, th, node, sid, size, keys, f0..f3) of shingle sets: text hash, name of the 256 bits, hash and size of the
-    set, 1,024 bits as 64 keys of 16 bits, and the first 256 of them for the distances."""
-    names = ["doc_id", "th", "node", "sid", "size", "keys", "f0", "f1", "f2", "f3"]
+    """(doc_id, th, sid, size, bits) of shingle sets: text hash, hash and size of the set, 1,024 bits as bytes."""
+    names = ["doc_id", "th", "sid", "size", "bits"]
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
@@ -277,13 +316,32 @@ def wide_fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text
                 part = batch.slice(at, 500)
                 sets = [shingle_set(t, shingle) for t in part.column(2).to_pylist()]
                 sid = np.array([xxhash.xxh64_intdigest(x.tobytes(), 42) for x in sets], dtype=np.uint64).view(np.int64)
-                words = bits_of((x.tolist() if x[-1] else [] for x in sets), len(sets), WIDE).view(np.uint64)
-                keys = pa.ListArray.from_arrays(pa.array(np.arange(len(words) + 1, dtype=np.int32) * 4 * WIDE), pa.array(words.astype("<u8").view("<u2").reshape(-1).astype(np.int32)))
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(node_of(words[:, :4]).view(np.int64)), pa.array(sid), pa.array([len(x) for x in sets], pa.int64()), keys, *[pa.array(words[:, k].view(np.int64)) for k in range(4)]], names)
+                words = bits_of((x.tolist() if x[-1] else [] for x in sets), len(sets), WIDE).astype("<i8")
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(sid), pa.array([len(x) for x in sets], pa.int64()), pa.array([w.tobytes() for w in words], pa.binary())], names)
 
     kind = docs.select(doc_id).dtypes[0][1]
-    schema = f"doc_id {kind}, th bigint, node bigint, sid bigint, size bigint, keys array<int>, f0 bigint, f1 bigint, f2 bigint, f3 bigint"
-    return docs.select(F.col(doc_id).alias("doc_id"), F.xxhash64(F.col(text)).alias("th"), F.col(text).cast("string").alias("text")).mapInArrow(make, schema)
+    return docs.select(F.col(doc_id).alias("doc_id"), F.xxhash64(F.col(text)).alias("th"), F.col(text).cast("string").alias("text")).mapInArrow(make, f"doc_id {kind}, th bigint, sid bigint, size bigint, bits binary")
+
+
+def block_rows(sets: DataFrame, bits: int, blocks: int) -> DataFrame:
+    """(c, m, sid, f0, f1) for each block of each row of ``sets`` (sid, bits): number and value of the block, first 128 bits."""
+    chosen = block_bits(bits, blocks)
+
+    def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        weights = np.int64(1) << np.arange(bits, dtype=np.int64)
+        for batch in batches:
+            for at in range(0, batch.num_rows, 500):
+                part = batch.slice(at, 500)
+                words = np.frombuffer(b"".join(part.column(1).to_pylist()), dtype="<i8").reshape(-1, WIDE)
+                spread = np.unpackbits(words.view(np.uint8).reshape(len(words), -1), axis=1, bitorder="little")
+                value = (spread[:, chosen] * weights).sum(axis=2)
+                n = blocks
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.tile(np.arange(n, dtype=np.int32), len(words))), pa.array(value.reshape(-1)), pa.array(np.repeat(part.column(0).to_numpy(), n)), pa.array(np.repeat(words[:, 0], n)), pa.array(np.repeat(words[:, 1], n))],
+                    ["c", "m", "sid", "f0", "f1"],
+                )
+
+    return sets.select("sid", "bits").mapInArrow(make, "c int, m bigint, sid bigint, f0 bigint, f1 bigint")
 
 
 def exact_forest(words: np.ndarray, sets: list[np.ndarray], distance: int) -> list[tuple[int, int]]:
@@ -309,23 +367,23 @@ def exact_forest(words: np.ndarray, sets: list[np.ndarray], distance: int) -> li
 
 
 def exact_links(shingle: int, distance: int):
-    """mapInArrow function over (root, i, j, sid, f0..f3, text) sorted by the first three: links of ``sid`` in each run of equal keys."""
+    """mapInArrow function over (root, i, j, sid, bits, text) sorted by the first three: links of ``sid`` in each run of equal keys."""
 
     def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, names, words, sets = None, [], [], []
 
         def close() -> list[tuple[int, int]]:
-            found = exact_forest(np.array(words, dtype=np.int64).view(np.uint64), sets, distance) if len(names) > 1 else []
+            found = exact_forest(np.array(words), sets, distance) if len(names) > 1 else []
             return [(names[x], names[y]) for x, y in found if names[x] != names[y]]
 
         for batch in batches:
             for at in range(0, batch.num_rows, 200):
                 out = []
-                for *key, sid, a, b, c, d, text in zip(*(x.to_pylist() for x in batch.slice(at, 200).columns), strict=True):
+                for *key, sid, bits, text in zip(*(x.to_pylist() for x in batch.slice(at, 200).columns), strict=True):
                     if key != last:
                         out += close()
                         last, names, words, sets = key, [], [], []
-                    names.append(sid), words.append((a, b, c, d)), sets.append(shingle_set(text, shingle))
+                    names.append(sid), words.append(np.frombuffer(bits, dtype="<u8", count=2)), sets.append(shingle_set(text, shingle))
                 if out:
                     yield _links([(x & 0xFFFFFFFFFFFFFFFF, y & 0xFFFFFFFFFFFFFFFF) for x, y in out])
         out = close()
@@ -339,22 +397,25 @@ def similar_rows(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", sh
     """(doc_id, th, least): per row its text hash and the first (id, text hash) of its component, null ids last.
 
     Two documents are linked if their shingle sets have a similarity (Jaccard) of 0.8 or more. At that similarity some
-    15 % of the bits differ, far more than blocks of 64 bits can bridge. So fingerprints of 1,024 bits are used: two
-    documents that share any of 64 blocks of 16 bits (a pair at 0.8 with probability 0.99, at 0.85 with more than 0.999)
-    and differ in at most ``distance`` of 256 bits are candidates. Components of candidates bring the texts together, in
-    chunks of bounded size and pairs of chunks; there each link is decided by the sets themselves.
+    15 % of the bits differ, far more than blocks of 64 bits can bridge. So fingerprints have 1,024 bits, and blocks of
+    20 bits or more (see :func:`block_plan`): two documents that share any of them (a pair at 0.8 with probability 0.99,
+    at 0.85 with more than 0.999) and differ in at most ``distance`` of 128 bits are candidates. Components of candidates
+    bring the texts together, in chunks of bounded size and pairs of chunks; there the sets themselves decide each link.
+    A fingerprint belongs to a set, named by the hash of the set, so equal sets are one row everywhere.
     """
     wide = cut(wide_fingerprints(docs, doc_id, text, shingle))
-    words = ["f0", "f1", "f2", "f3"]
-    keyed = wide.select("node", "keys", *words).dropDuplicates(["node"]).select(F.posexplode("keys").alias("c", "m"), *words).select("c", F.col("m").cast("long").alias("m"), *words)
-    loose = cut(components(bucket_links(keyed, words, distance, max_run)).withColumnRenamed("node", "of"))
-    sets = wide.groupBy("sid").agg(F.min(F.struct(F.isnull("doc_id").alias("none"), "doc_id", "th")).alias("least"), *[F.first(x).alias(x) for x in ["node", "size", *words]])
-    sets = cut(sets.join(loose, F.col("node") == F.col("of"), "left").select("sid", "least", "size", *words, F.coalesce("root", "node").alias("root")))
+    first = F.min(F.struct(F.isnull("doc_id").alias("none"), "doc_id", "th")).alias("least")
+    distinct = cut(wide.groupBy("sid").agg(first, F.first("size").alias("size"), F.first("bits").alias("bits")))
+    rows = distinct.count()
+    bits, blocks = block_plan(rows)
+    keyed = block_rows(distinct, bits, blocks)
+    loose = cut(components(bucket_links(keyed, ["sid", "f0", "f1"], distance, rows * blocks, max_run)).withColumnRenamed("node", "of"))
+    sets = cut(distinct.join(loose, F.col("sid") == F.col("of"), "left").select("sid", "least", "size", "bits", F.coalesce("root", "sid").alias("root")))
     groups = sets.groupBy("root").agg(F.count("*").alias("n"), F.ceil(F.sum("size") / max_shingles).cast("int").alias("chunks")).filter("n > 1").select(F.col("root").alias("of"), "chunks")
-    live = sets.join(groups, F.col("root") == F.col("of")).select("sid", "root", "chunks", *words, F.col("least.doc_id").alias("lid"), F.col("least.th").alias("lth"))
+    live = sets.join(groups, F.col("root") == F.col("of")).select("sid", "root", "chunks", "bits", F.col("least.doc_id").alias("lid"), F.col("least.th").alias("lth"))
     texts = docs.select(F.col(doc_id).alias("id"), F.xxhash64(F.col(text)).alias("th"), F.col(text).cast("string").alias("text"))
     whole = texts.join(live, F.col("id").eqNullSafe(F.col("lid")) & (F.col("th") == F.col("lth"))).withColumn("o", F.pmod(F.xxhash64("sid"), F.col("chunks")).cast("int"))
-    dealt = whole.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))).select("root", F.least("o", "other").alias("i"), F.greatest("o", "other").alias("j"), "sid", *words, "text")
+    dealt = whole.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))).select("root", F.least("o", "other").alias("i"), F.greatest("o", "other").alias("j"), "sid", "bits", "text")
     key = ["root", "i", "j"]
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     exact = dealt.repartition(n, *key).sortWithinPartitions(*key).mapInArrow(exact_links(shingle, distance), "a bigint, b bigint").distinct()

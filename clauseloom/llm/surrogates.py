@@ -245,7 +245,7 @@ def replace_pii(docs: DataFrame, key: str, doc_id: str = "doc_id", text: str = "
     scan = lambda pattern: F.regexp_extract_all(t, F.lit(f"({pattern})"), 1)
     place = lambda x, i: F.struct(i.alias("at"), x.alias("hit"))
     every = F.concat(F.transform(scan(ENTITY), place), F.transform(F.array_distinct(scan(PERSON)), lambda x: place(x, F.lit(-1))))
-    hits = cut(docs.select(F.col(doc_id).alias("id"), F.xxhash64(t).alias("th"), F.explode(every).alias("x")).select("id", "th", "x.at", "x.hit").distinct())
+    hits = cut(docs.select(F.col(doc_id).alias("id"), F.xxhash64(t).alias("th"), F.explode_outer(every).alias("x")).filter("x is not null").select("id", "th", "x.at", "x.hit").distinct())  # explode would add a filter on the array's size and so scan twice
     found = hits.filter("at >= 0").withColumn("kind", kind_of(F.col("hit")))
     found = cut(found.withColumn("norm", norm_of(F.col("hit"), F.col("kind"))))
     people = cut(named_persons(hits.filter("at < 0").select("id", "th", "hit")))

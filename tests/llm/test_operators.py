@@ -550,6 +550,47 @@ def test_similar_documents_by_exact_similarity(spark):
         assert sum(near[k] < 0.8 for k in near) > 100 and len(alike) > 100 and sum(k in linked for k in alike) >= 0.97 * len(alike)
 
 
+def test_similar_documents_recall(spark):
+    """Of pairs at a similarity of 0.8 and a little more, 0.97 or more are found; of all pairs of the small tables, all."""
+    rnd = random.Random(11)
+    words = [f"w{i}" for i in range(5000)]
+    rows = []
+    for i in range(600):
+        a = [rnd.choice(words) for _ in range(rnd.randrange(100, 400))]
+        b = list(a)
+        while True:  # one word after another changes, until one more would go below 0.8
+            c = list(b)
+            c[rnd.randrange(len(c))] = rnd.choice(words)
+            if jaccard(a, c) < 0.8:
+                break
+            b = c
+        rows += [(2 * i, " ".join(a)), (2 * i + 1, " ".join(b))]
+    got = {r.doc_id: r.component_id for r in simhash.similar_documents(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()}
+    assert sum(got[2 * i + 1] == 2 * i for i in range(600)) >= 0.97 * 600 and all(got[2 * i] == 2 * i for i in range(600))
+
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    sets, holders = {r.doc_id: set(simhash.shingle_set(r.text, 5).tolist()) for r in docs.collect()}, defaultdict(list)
+    for i, x in sets.items():
+        for h in x:
+            holders[h].append(i)
+    pairs = {(a, b) for ids in holders.values() for k, a in enumerate(ids) for b in ids[k + 1 :]}
+    alike = [(a, b) for a, b in pairs if 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b])]
+    got = {r.doc_id: r.component_id for r in simhash.similar_documents(docs).collect()}
+    found = sum(got[a] == got[b] for a, b in alike)
+    assert len(alike) > 100 and found >= 0.98 * len(alike)
+
+
+def jaccard(a, b):
+    x, y = ({tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in (a, b))
+    return len(x & y) / len(x | y)
+
+
+def test_block_plan():
+    for rows in (0, 1000, 10**6, 10**9):
+        bits, blocks = simhash.block_plan(rows)
+        assert rows / 2**bits <= 4.1 and 1 - (1 - 0.852**bits) ** blocks >= 0.99 and simhash.block_bits(bits, blocks).max() < 1024
+
+
 def test_keep_first_keeps_unrelated_rows_of_equal_ids(spark):
     text = lambda k: " ".join(f"t{k}w{i}" for i in range(40))
     rows = [(1, text(1)), (1, text(2)), (1, text(1)), (None, text(3)), (None, text(4)), (None, text(3)), (None, text(2)), (2, text(2)), (0, text(4))]
