@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from clauseloom.llm import decontam, licenses, quality
+from clauseloom.llm import decontam, licenses, line_templates, quality
 from clauseloom.llm.common import LOWER, UPPER
 
 BLANK_WORD = r"[^\x20\x09-\x0D]+"
@@ -34,6 +34,31 @@ x AS (SELECT *, n_words < {quality.MIN_WORDS} OR 100 * n_repeat_words > {quality
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND NOT removed_chars > {quality.MAX_REMOVED}::DOUBLE * line_chars AS kept, line_chars, removed_chars FROM x"""
 
 
+def line_templates_sql() -> str:
+    most, least, long = line_templates.MAX_DOCS, line_templates.MIN_CONSTANT, line_templates.LONG
+    return rf"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+l AS (SELECT doc_id, t, unnest(range(len(s))) AS pos, unnest(s) AS raw FROM (SELECT doc_id, t, string_split(t, chr(10)) AS s FROM d)),
+e AS (SELECT doc_id, t, pos, trim(regexp_replace(raw, '[\x20\x09-\x0D]+', ' ', 'g'), ' ') AS v FROM l),
+m AS (SELECT doc_id, t, pos, v, list_transform(string_split(v, ' '), lambda x: CASE WHEN regexp_matches(x, '[0-9]') THEN '<*>' ELSE x END) AS tk FROM e WHERE v <> ''),
+k AS (SELECT doc_id, t, pos, v, tk, len(tk) AS n, array_to_string(tk, ' ') AS line FROM m),
+u AS (SELECT DISTINCT t, line, n, tk FROM k),
+c AS (SELECT t, line, n, 0 AS r, array_to_string(tk[1:2], ' ') AS leaf FROM u UNION ALL SELECT t, line, n, 1, tk[2] || ' ' || tk[3] FROM u WHERE n >= {line_templates.MIN_WILD} UNION ALL SELECT t, line, n, 2, tk[1] || ' ' || tk[3] FROM u WHERE n >= {line_templates.MIN_WILD}),
+reached AS (SELECT n, r, leaf FROM c GROUP BY ALL HAVING count(DISTINCT t) > {most}),
+chosen AS (SELECT line, n, arg_min(leaf, r) AS leaf, min(r) AS r FROM (SELECT DISTINCT line, n, r, leaf FROM c) JOIN reached USING (n, r, leaf) GROUP BY line, n),
+kinds AS (SELECT line, n, r, leaf, any_value(tk) AS tk, count(DISTINCT t) AS docs FROM u JOIN chosen USING (line, n) GROUP BY ALL),
+tok AS (SELECT line, n, r, leaf, docs, unnest(range(n)) AS spot, unnest(tk) AS token FROM kinds),
+stays AS (SELECT n, r, leaf, spot, token FROM tok WHERE token <> '<*>' GROUP BY ALL HAVING sum(docs) > {most}),
+general AS (SELECT line, n || ' ' || string_agg(coalesce(s.token, '<*>'), ' ' ORDER BY spot) AS template FROM tok LEFT JOIN stays s USING (n, r, leaf, spot, token) GROUP BY line, n HAVING count(s.token) >= {least} * n),
+o AS (SELECT doc_id, t, pos, template FROM k JOIN general USING (line)),
+often AS (SELECT template, min(doc_id) AS first FROM o GROUP BY template HAVING count(DISTINCT t) > {most}),
+words AS (SELECT v, min(doc_id) AS first FROM k GROUP BY v, n HAVING count(DISTINCT t) > CASE WHEN n >= {long} THEN 1 ELSE {most} END),
+gone AS (SELECT doc_id, pos FROM o JOIN often USING (template) WHERE doc_id <> first UNION SELECT doc_id, pos FROM k JOIN words USING (v) WHERE doc_id <> first),
+left_ AS (SELECT doc_id, string_agg(raw, chr(10) ORDER BY pos) AS s FROM l WHERE (doc_id, pos) NOT IN (SELECT (doc_id, pos) FROM gone) GROUP BY doc_id),
+n AS (SELECT doc_id, count(*) AS n FROM gone GROUP BY doc_id)
+SELECT d.doc_id, coalesce(n.n, 0) AS n_dropped, CAST(length(coalesce(s, '')) AS BIGINT) AS n_chars, md5(coalesce(s, '')) AS text_md5 FROM d LEFT JOIN left_ USING (doc_id) LEFT JOIN n USING (doc_id)"""
+
+
 def decontamination_sql() -> str:
     n = decontam.WINDOW
     return f"""

@@ -29,5 +29,6 @@ def oracle_sql() -> dict[str, str]:
     return {
         "op1_quality_rules": oracles.quality_sql(),
         "op2_license_scan": oracles.licenses_sql(),
+        "op3_line_templates": oracles.line_templates_sql(),
         "op5_decontamination": oracles.decontamination_sql(),
     }

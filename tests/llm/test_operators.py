@@ -144,43 +144,66 @@ def test_line_templates(spark, docs):
 
 def templates_dropped(docs, most=line_templates.MAX_DOCS):
     """{doc_id: kept lines} of (doc_id, text) by the definition, with plain dictionaries."""
-    mask = lambda s: re.sub(r"[^ ]*[0-9][^ ]*", "<*>", re.sub(r"[\x20\x09-\x0D]+", " ", s)).strip(" ")
-    lines = {(i, t): [mask(x) for x in (t or "").split("\n")] for i, t in docs}
-    leaf = lambda s: (s.count(" "), " ".join(s.split(" ")[: line_templates.LEAD]))
-    reached = defaultdict(set)
-    for (_, t), ls in lines.items():
-        for s in set(ls) - {""}:
-            reached[leaf(s)].add(t)
-    holders = defaultdict(set)
-    for (_, t), ls in lines.items():
-        for s in set(ls) - {""}:
-            if len(reached[leaf(s)]) > most:
-                holders[s].add(t)
+    even = lambda s: re.sub(r"[\x20\x09-\x0D]+", " ", s).strip(" ")
+    mask = lambda s: re.sub(r"[^ ]*[0-9][^ ]*", "<*>", s)
+    rows = sorted(((i, t or "", k, even(x)) for i, t in docs for k, x in enumerate((t or "").split("\n")) if even(x)), key=lambda r: r[0])
+
+    def leaves(s):
+        w = s.split(" ")
+        return [(len(w), 0, *w[:2])] + ([(len(w), 1, *w[1:3]), (len(w), 2, w[0], w[2])] if len(w) >= 4 else [])
+
+    reached, holders, wording, first = defaultdict(set), defaultdict(set), defaultdict(set), {}
+    for i, t, _, v in rows:
+        wording[v].add(t)
+        first.setdefault(v, i)
+        for x in leaves(mask(v)):
+            reached[x].add(t)
+    leaf = {}
+    for _, t, _, v in rows:
+        found = [x for x in leaves(mask(v)) if len(reached[x]) > most]
+        if found:
+            leaf[mask(v)] = found[0]
+            holders[mask(v)].add(t)
     count = Counter()
     for s, ts in holders.items():
         for at, token in enumerate(s.split(" ")):
-            count[leaf(s), at, token] += len(ts)
+            count[leaf[s], at, token] += len(ts)
     template = {}
     for s in holders:
-        general = [x if x != "<*>" and count[leaf(s), at, x] > most else "<*>" for at, x in enumerate(s.split(" "))]
+        general = [x if x != "<*>" and count[leaf[s], at, x] > most else "<*>" for at, x in enumerate(s.split(" "))]
         if sum(x != "<*>" for x in general) >= line_templates.MIN_CONSTANT * len(general):
-            template[s] = (len(general), " ".join(general))
-    texts, first = defaultdict(set), {}
-    for (i, t), ls in sorted(lines.items(), key=lambda x: x[0][0]):
-        for s in set(ls) & template.keys():
-            texts[template[s]].add(t)
-            first.setdefault(template[s], i)
-    return {i: [x for x, s in zip((t or "").split("\n"), ls, strict=True) if not (s in template and len(texts[template[s]]) > most and first[template[s]] != i)] for (i, t), ls in lines.items()}
+            template[s] = tuple(general)
+    texts, start, gone = defaultdict(set), {}, set()
+    for i, t, _, v in rows:
+        if mask(v) in template:
+            texts[template[mask(v)]].add(t)
+            start.setdefault(template[mask(v)], i)
+    for i, _, k, v in rows:
+        if len(wording[v]) > (1 if v.count(" ") >= line_templates.LONG - 1 else most) and first[v] != i:
+            gone.add((i, k))
+        x = template.get(mask(v))
+        if x and len(texts[x]) > most and start[x] != i:
+            gone.add((i, k))
+    return {i: [x for k, x in enumerate((t or "").split("\n")) if (i, k) not in gone] for i, t in docs}
 
 
 def test_line_templates_against_the_definition(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
-    for most in (20, 5):
+    for most, few in ((20, 10**6), (5, 10**6), (5, 0)):
         want = templates_dropped([tuple(r) for r in docs.collect()], most)
-        got = line_templates.dedup_lines(docs, max_docs=most).collect()
+        got = line_templates.dedup_lines(docs, max_docs=most, max_broadcast=few).collect()
         assert {r.doc_id: r.text for r in got} == {i: "\n".join(x) for i, x in want.items()} and any(r.n_dropped for r in got)
 
 
+def test_line_templates_with_variable_starts_numbers_and_long_passages(spark):
+    """A variable first or second token, lines of numbers only, and long lines that just two documents share."""
+    passage = " ".join(f"p{i % 7}x" for i in range(50))
+    rows = [(i, f"n{'abcdefghij'[i % 10]}{'klmnop'[i // 10]} logged in from web\nuser u{'abcdefghij'[i % 10]}{'klmnop'[i // 10]} said hello there\n2024-01-01 10:00:00 17 4\nown {chr(97 + i % 26)}{chr(97 + i // 26)} words" + f"\n{passage}" * (i < 2) + f"\n{passage} short"[: 60 * (i > 57)]) for i in range(60)]
+    got = {r.doc_id: r for r in line_templates.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got[0].text == rows[0][1] and got[1].n_dropped == 4 and all(got[i].text.startswith("own ") and got[i].n_dropped == 3 for i in range(2, 58))
+    assert templates_dropped(rows)[1] == got[1].text.split("\n")
+
+
 def test_line_templates_leave_rare_lines(spark):
     rows = [(i, f"Alpha beta common tail for all\nown {i}") for i in range(20)]
     df = spark.createDataFrame(rows + rows[:5], "doc_id long, text string")
