@@ -154,6 +154,24 @@ def forest(values: np.ndarray, distance: int) -> list[tuple[int, int]]:
     return links
 
 
+def spanning(pairs: list[tuple[int, int]], names: np.ndarray) -> list[tuple[int, int]]:
+    """The pairs of places, by name, that connect what none before them does."""
+    above: dict[int, int] = {}
+
+    def top(x: int) -> int:
+        while x in above:
+            x = above[x]
+        return x
+
+    out = []
+    for i, j in pairs:
+        a, b = top(i), top(j)
+        if a != b:
+            above[max(a, b)] = min(a, b)
+            out.append((int(names[i]), int(names[j])))
+    return out
+
+
 def links_in_runs(distance: int = DISTANCE, width: int = 1):
     """mapInArrow function over rows (key columns..., words...) sorted by key: the links of each run of equal keys.
 
@@ -197,11 +215,13 @@ def links_in_runs(distance: int = DISTANCE, width: int = 1):
                 few, lengths = words[bounds[1] : bounds[-2]], np.diff(bounds[1:-1])
                 run, small = np.repeat(np.arange(len(lengths)), lengths), lengths <= SMALL_RUN
                 bits = few[:, 1:] if named else few
+                found = []
                 for lag in range(1, int(lengths[small].max(initial=1))):  # short runs all at once, each row with the one ``lag`` rows on
                     at = np.flatnonzero((run[lag:] == run[:-lag]) & small[run[:-lag]])
                     far = np.bitwise_count(bits[at] ^ bits[at + lag]).sum(axis=1, dtype=np.int32)
                     near = at[(far <= distance) & (few[at, 0] != few[at + lag, 0])]
-                    out += zip(few[near, 0].tolist(), few[near + lag, 0].tolist(), strict=True)
+                    found += zip(near.tolist(), (near + lag).tolist(), strict=True)
+                out += spanning(sorted(found), few[:, 0])
                 for i in np.flatnonzero(~small) + 1:
                     out += linked(words[bounds[i] : bounds[i + 1]])
             held.append(words[bounds[-2] :])
@@ -253,7 +273,8 @@ def bucket_links(keyed: DataFrame, words: list[str], distance: int, total: int,
         rows = rows.unionByName(dealt.select("c", "m", F.least("o", "other").alias("i"), F.greatest("o", "other").alias("j"), *words))
     key = ["c", "m", "i", "j"]
     n = int(keyed.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return rows.repartition(n, *key).sortWithinPartitions(*key).mapInArrow(links_in_runs(distance, len(words)), "a bigint, b bigint").distinct()
+    # sorted by their names, too, the runs' links lead to few of them, the smallest
+    return rows.repartition(n, *key).sortWithinPartitions(*key, words[0]).mapInArrow(links_in_runs(distance, len(words)), "a bigint, b bigint").distinct()
 
 
 def components(edges: DataFrame) -> DataFrame:
