@@ -81,63 +81,68 @@ def _exploded(df: DataFrame, array: Column, name: str) -> DataFrame:
     return df.withColumn(name, F.explode_outer(array)).filter(F.col(name).isNotNull())
 
 
-def _but_first(rows: DataFrame, key: str, least: Column) -> DataFrame:
-    """(id, th, at) of ``rows`` (id, th, at, key, limit...) whose key recurs, without those of the key's first document."""
+def _but_first(rows: DataFrame, key: str, least: Column, max_broadcast: int) -> DataFrame:
+    """(id, th, at) of ``rows`` (id, th, at, key, ...) whose key recurs, without those of the key's first document."""
     texts = rows.groupBy(key, "th").agg(F.min("id").alias("id"), F.max(least).alias("least"))
     often = texts.groupBy(key).agg(F.count("*").alias("n"), F.min(F.struct("id", "th")).alias("first"), F.max("least").alias("least")).filter("n > least").select(F.col(key).alias("of"), "first")
-    often = _salted(often)
-    gone = rows.withColumn("salt", _salt("th")).join(often.withColumnRenamed("salt", "s2"), (F.col(key) == F.col("of")) & (F.col("salt") == F.col("s2")))
+    often = cut(often)
+    if often.count() <= max_broadcast:
+        gone = rows.join(F.broadcast(often), F.col(key) == F.col("of"))
+    else:
+        gone = rows.withColumn("salt", _salt("th")).join(_salted(often).withColumnRenamed("salt", "s2"), (F.col(key) == F.col("of")) & (F.col("salt") == F.col("s2")))
     return gone.filter(~F.struct("id", "th").eqNullSafe(F.col("first"))).select("id", "th", "at")
 
 
-def in_leaves(read: DataFrame, max_docs: int, max_broadcast: int = MAX_BROADCAST) -> DataFrame:
-    """(id, th, at, leaf, line) of the masked lines that have a leaf; ``read`` (id, th, lines: array<struct<at, line>>)."""
-    every = F.array_distinct(F.flatten(F.transform("lines", lambda x: F.array_compact(leaves_of(x["line"])))))
-    leaves = _exploded(read.select("th", every.alias("l")), F.col("l"), "leaf").select("th", "leaf").distinct()
+def in_leaves(rows: DataFrame, even: DataFrame, max_docs: int, max_broadcast: int) -> DataFrame:
+    """(id, th, at, leaf, line) of the masked lines that have a leaf.
+
+    ``rows`` (th, at, l: leaves) of all lines; ``even`` (id, th, e: lines), from which the few lines are taken.
+    """
+    leaves = rows.select("th", F.explode("l").alias("leaf")).filter("leaf is not null").distinct()
     reached = cut(leaves.groupBy("leaf").count().filter(F.col("count") > max_docs).select(F.col("leaf").alias("rl")))
-    each = _exploded(read, F.col("lines"), "x").select("id", "th", "x.at", "x.line")
+    each = _exploded(even, _worded(lambda s, i: F.struct(i.alias("at"), masked(s).alias("line"))), "x").select("id", "th", "x.at", "x.line")
     if reached.count() <= max_broadcast:
         known = F.broadcast(reached)
         found = each.withColumn("l", leaves_of(F.col("line"))).select("id", "th", "at", "line", *[F.get("l", F.lit(k)).alias(f"l{k}") for k in range(3)])
         for k in range(3):
             found = found.join(known.select(F.col("rl").alias(f"r{k}")), F.col(f"l{k}") == F.col(f"r{k}"), "left")
         return found.select("id", "th", "at", F.coalesce("r0", "r1", "r2").alias("leaf"), "line").filter("leaf is not null")
-    hashed = each.select("th", F.xxhash64("line").alias("lh"), F.posexplode(leaves_of(F.col("line"))).alias("rank", "leaf")).filter("leaf is not null").distinct()
-    chosen = _semi(hashed, reached)
-    chosen = chosen.groupBy("th", "lh").agg(F.min(F.struct("rank", "leaf"))["leaf"].alias("leaf"))
-    return each.withColumn("lh", F.xxhash64("line")).join(chosen, ["th", "lh"]).select("id", "th", "at", "leaf", "line")
+    offered = rows.select("th", "at", F.posexplode("l").alias("rank", "leaf")).filter("leaf is not null").distinct().withColumn("salt", _salt("th"))
+    known = _salted(reached).withColumnRenamed("salt", "s2")
+    chosen = offered.join(known, (F.col("leaf") == F.col("rl")) & (F.col("salt") == F.col("s2")), "left_semi")
+    chosen = chosen.groupBy("th", "at").agg(F.min(F.struct("rank", "leaf"))["leaf"].alias("leaf"))
+    return each.join(chosen, ["th", "at"]).select("id", "th", "at", "leaf", "line")
 
 
-def _semi(hashed: DataFrame, reached: DataFrame) -> DataFrame:
-    known = _salted(reached).withColumnRenamed("salt", "s2")
-    return hashed.withColumn("salt", _salt("th")).join(known, (F.col("leaf") == F.col("rl")) & (F.col("salt") == F.col("s2")), "left_semi")
+def _worded(f) -> Column:
+    """``f(line, place)`` of the lines ``e`` that are not blank."""
+    return F.filter(F.transform("e", lambda s, i: F.when(s != "", f(s, i))), lambda x: x.isNotNull())
 
 
 def recurring_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", max_docs: int = MAX_DOCS, min_constant: float = MIN_CONSTANT, long: int = LONG, max_broadcast: int = MAX_BROADCAST) -> DataFrame:
     """(id, th, gone): per document and text hash, the sorted places of the lines to drop; no row if there are none."""
     even = docs.select(F.col(doc_id).alias("id"), F.xxhash64(F.col(text)).alias("th"), even_lines(F.col(text)).alias("e"))
-    some = lambda f: F.filter(F.transform("e", lambda s, i: F.when(s != "", f(s, i))), lambda x: x.isNotNull())
-    wordings = even.select("id", "th", some(lambda s, i: F.struct(i.alias("at"), F.xxhash64(s).alias("vh"), (spaces(s) >= long - 1).alias("long"))).alias("v"))
-    wordings = _exploded(wordings, F.col("v"), "x").select("id", "th", "x.at", "x.vh", "x.long")
-    verbatim = _but_first(wordings, "vh", F.when(F.col("long"), 1).otherwise(max_docs))
+    facts = _worded(lambda s, i: F.struct(i.alias("at"), F.xxhash64(s).alias("vh"), (spaces(s) >= long - 1).alias("long"), leaves_of(masked(s)).alias("l")))
+    # one narrow row per line: all counting starts from these
+    rows = cut(_exploded(even.select("id", "th", facts.alias("v")), F.col("v"), "x").select("id", "th", "x.*"))
+    verbatim = _but_first(rows.drop("l"), "vh", F.when(F.col("long"), 1).otherwise(max_docs), max_broadcast)
 
-    read = even.select("id", "th", some(lambda s, i: F.struct(i.alias("at"), masked(s).alias("line"))).alias("lines"))
-    lines = cut(in_leaves(read, max_docs, max_broadcast).distinct())
+    lines = cut(in_leaves(rows, even, max_docs, max_broadcast).withColumn("lh", F.xxhash64("line")).distinct())
     # one row per different line, with its number of different texts
-    kinds = lines.select("leaf", "line", "th").distinct().groupBy("leaf", "line").agg(F.count("*").alias("docs"))
-    tokens = kinds.select("leaf", "line", "docs", F.xxhash64("line").alias("lh"), F.posexplode(F.split("line", " ", -1)).alias("spot", "token"))
+    kinds = lines.select("leaf", "lh", "line", "th").distinct().groupBy("leaf", "lh", "line").agg(F.count("*").alias("docs"))
+    tokens = kinds.select("leaf", "lh", "docs", F.posexplode(F.split("line", " ", -1)).alias("spot", "token"))
     stays = tokens.groupBy("leaf", "spot", "token").agg(F.sum("docs").alias("n")).filter((F.col("n") > max_docs) & (F.col("token") != "<*>"))
     stays = _salted(stays.select(F.col("leaf").alias("sl"), F.col("spot").alias("sa"), F.col("token").alias("st"))).withColumnRenamed("salt", "s2")
     marked = tokens.withColumn("salt", _salt("lh")).join(stays, (F.col("leaf") == F.col("sl")) & (F.col("spot") == F.col("sa")) & (F.col("token") == F.col("st")) & (F.col("salt") == F.col("s2")), "left")
-    part = F.struct("spot", F.when(F.col("st").isNotNull(), F.col("token")).otherwise(F.lit("<*>")).alias("token"))
-    general = marked.groupBy("leaf", "line").agg(F.sort_array(F.collect_list(part)).alias("parts"), F.count("st").alias("constant"), F.count("*").alias("size"))
+    part = F.struct("spot", F.coalesce("st", F.lit("<*>")).alias("token"))
+    general = marked.groupBy("leaf", "lh").agg(F.sort_array(F.collect_list(part)).alias("parts"), F.count("st").alias("constant"), F.count("*").alias("size"))
     named = general.filter(F.col("constant") >= min_constant * F.col("size")).select(
-        F.col("leaf").alias("nl"), F.col("line").alias("nline"), F.xxhash64("size", F.array_join(F.transform("parts", lambda x: x["token"]), " ")).alias("template")
+        F.col("leaf").alias("nl"), F.col("lh").alias("nh"), F.xxhash64("size", F.array_join(F.transform("parts", lambda x: x["token"]), " ")).alias("template")
     )
     # a line is one row of ``named``, but may be one of many documents
     named = _salted(named).withColumnRenamed("salt", "s2")
-    of = lines.withColumn("salt", _salt("th")).join(named, (F.col("leaf") == F.col("nl")) & (F.col("line") == F.col("nline")) & (F.col("salt") == F.col("s2"))).select("id", "th", "at", "template")
-    gone = _but_first(cut(of), "template", F.lit(max_docs)).unionByName(verbatim)
+    of = lines.withColumn("salt", _salt("th")).join(named, (F.col("leaf") == F.col("nl")) & (F.col("lh") == F.col("nh")) & (F.col("salt") == F.col("s2"))).select("id", "th", "at", "template")
+    gone = _but_first(cut(of), "template", F.lit(max_docs), max_broadcast).unionByName(verbatim)
     return gone.groupBy("id", "th").agg(F.sort_array(F.collect_set("at")).alias("gone"))
 
 
