@@ -221,17 +221,70 @@ def test_wrapper(spark):
     rows += [(50, None, None), (51, "x", ""), (52, "http://b.org/1", "plain <i>text</i> &lt;x&gt;"), (53, "http://b.org/2", "<div>only<div>nested" * 3000), (54, "http://b.org/3", "<p>cut <a href='"), (3, "http://www.a.com/3", PAGE.replace("{i}", "3"))]
     df = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(4)
     got = by_row(wrapper.op4_wrapper_induction(df).collect(), "page_id")
-    for i in range(1, 12):
+    for i in range(12):  # the reference page, 0, among them
         assert {r.text for r in got[i]} == {f"Head {i} One & two {i} Three four {i}"}, got[i]
     assert len(got[3]) == 2 and got[50][0].text == "" and got[51][0].n_chars == 0 and got[52][0].text == "plain text <x>"
     assert got[54][0].text == "cut" and got[53][0].text.startswith("only nested")
     assert wrapper.extract(df.limit(0)).count() == 0
 
 
+PLAIN = """<html><body><div class="a"><a href="/">Home</a> <a href="/x">Stories</a></div><div class="b"><div class="c1">Daily Words, volume {v}</div><p>Sent from the desk</p><p>First {i} words</p><p>Read on below</p>
+<p>Second {i} words</p><p>Write to us</p>{more}</div><div class="d">Printed on paper<ul><li>One</li><li>Two</li></ul></div></body></html>"""
+OTHER = """<html><body><table><tr><td>Left hand</td><td>Story {i} here</td></tr></table><div class="d">Printed on paper<ul><li>One</li><li>Two</li></ul></div></body></html>"""
+
+
+def plain_pages():
+    rows = [(i, "http://p.org/%d" % i, PLAIN.replace("{i}", f"n{i}").replace("{v}", "ten").replace("{more}", f"<h2>Added {i}</h2>" * (i % 2) + f"<dl>{''.join(f'<dt>k{i}x{k}</dt><dd>v{i}x{k}</dd>' for k in range(300 * (i == 5)))}</dl>")) for i in range(10)]
+    return rows + [(20 + i, "http://p.org/o%d" % i, OTHER.replace("{i}", f"m{i}")) for i in range(6)] + [(40, "http://lone.org/1", PLAIN.replace("{i}", "x")), (41, "http://lone.org/1", PLAIN.replace("{i}", "x")), (None, "http://p.org/1", OTHER.replace("{i}", "m99"))]
+
+
+@pytest.mark.parametrize("most", [1 << 26, 0])
+def test_wrapper_without_telling_names(spark, most):
+    """No article, no telling class or tag: only alignment finds the text, members of a run one by one, on every layout."""
+    df = spark.createDataFrame([(*r, "h", 1) for r in plain_pages()], "page_id long, url string, html string, host string, template int").repartition(3)
+    got = by_row(wrapper.extract(df, max_broadcast=most).collect(), "page_id")
+    for i in range(10):
+        tail = f" Added {i}" * (i % 2) + "".join(f" k{i}x{k} v{i}x{k}" for k in range(300 * (i == 5)))
+        assert [r.text for r in got[i]] == [f"First n{i} words Second n{i} words{tail}"] and got[i][0].n_template >= 8
+    assert all(got[20 + i][0].text == f"Story m{i} here" for i in range(6)) and got[None][0].text == "Story m99 here"
+    assert got[40][0].n_template == 0 and got[40][0].text.startswith("Home Stories Daily Words") and got[41][0].text == got[40][0].text
+
+
+def test_pages_with_ids_and_many_siblings():
+    import time
+
+    page = "<body>" + "".join(f'<div id="n{i}" class="e{i}"><dt>a{i}</dt><dd>b</dd></div><hr><dt>q</dt><dd class="x{"abcdefgh"[i % 8]}y">r</dd>' for i in range(5000)) + "</body>"
+    began = time.time()
+    tree = wrapper.Folded(page)
+    assert len(tree.labels) < 50
+    wrapper.matched(tree.labels, tree.kids, tree.labels, tree.kids)
+    wide = ["#", *[f"x.{k}" for k in range(3000)]], [list(range(1, 3001))] + [[]] * 3000
+    assert len(wrapper.matched(*wide, *wide)) == 3001 and time.time() - began < 5
+
+
+def plain_size(a, b, x=0, y=0):
+    """Size of the largest matching by the textbook recursion."""
+    if a.labels[x] != b.labels[y]:
+        return 0
+    m, n = a.kids[x], b.kids[y]
+    t = [[0] * (len(n) + 1) for _ in range(len(m) + 1)]
+    for i, u in enumerate(m, 1):
+        for j, v in enumerate(n, 1):
+            t[i][j] = max(t[i - 1][j], t[i][j - 1], t[i - 1][j - 1] + plain_size(a, b, u, v))
+    return t[-1][-1] + 1
+
+
 def test_tree_matching():
+    match = lambda a, b: wrapper.matched(a.labels, a.kids, b.labels, b.kids)
     a, b = wrapper.Folded("<div><p>a</p><ul><li>x</ul></div>"), wrapper.Folded("<div><h1>t</h1><p>a</p><p>b</p><ul><li>y</ul></div>")
-    names = {(a.labels[x], b.labels[y]) for x, y in wrapper.matched(a, b)}
-    assert names == {("#", "#"), ("div", "div"), ("p", "p"), ("ul", "ul"), ("li", "li")}
+    assert {(a.labels[x], b.labels[y]) for x, y in match(a, b)} == {("#", "#"), ("div", "div"), ("p", "p"), ("ul", "ul"), ("li", "li")}
+    rnd = random.Random(5)
+    make = lambda d: "".join(f"<{t}>{make(d - 1) if d else ''}</{t}>" for t in rnd.choices(["div", "section", "h1", "ul"], k=rnd.randrange(5)))
+    for _ in range(200):
+        a, b = wrapper.Folded(make(3)), wrapper.Folded(make(3))
+        found = match(a, b)
+        assert len(found) == plain_size(a, b) and all(a.labels[x] == b.labels[y] for x, y in found)
+        assert len({x for x, _ in found}) == len(found) == len({y for _, y in found})
 
 
 def test_pages_of_the_test_data(spark):
