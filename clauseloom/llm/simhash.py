@@ -41,6 +41,8 @@ RECALL = 0.99
 #: Bits of a block, at least; two more than that for each fourfold of BLOCK_ROWS texts, so that buckets do not grow.
 BLOCK_BITS = 20
 BLOCK_ROWS = 1 << 22
+#: Blocks whose links are followed before the others are searched.
+FIRST_BLOCKS = 8
 #: Least similarity (Jaccard) of shingle sets, as a ratio of whole numbers.
 SIMILAR = (4, 5)
 #: Shingles that one side of a comparison holds at a time.
@@ -188,7 +190,7 @@ def links_in_runs(distance: int = DISTANCE, width: int = 1):
             if len(values) < 2:
                 return []
             names = values[:, 0].tolist()
-            return [(names[x], names[y]) for x, y in forest(values[:, 1:] if named else values, distance)]
+            return [(names[x], names[y]) for x, y in forest(values[:, 1:] if named else values, distance) if names[x] != names[y]]
 
         def close() -> list[tuple[int, int]]:
             out = linked(np.concatenate(held)) if held else []
@@ -344,9 +346,9 @@ def wide_fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text
     return docs.select(F.col(doc_id).alias("doc_id"), F.xxhash64(F.col(text)).alias("th"), F.col(text).cast("string").alias("text")).mapInArrow(make, f"doc_id {kind}, th bigint, sid bigint, size bigint, bits binary")
 
 
-def block_rows(sets: DataFrame, bits: int, blocks: int) -> DataFrame:
-    """(c, m, sid, f0, f1) for each block of each row of ``sets`` (sid, bits): number and value of the block, first 128 bits."""
-    chosen = block_bits(bits, blocks)
+def block_rows(sets: DataFrame, bits: int, blocks: range) -> DataFrame:
+    """(c, m, name, f0, f1) for each block of each row of ``sets`` (name, bits): number and value of the block, first 128 bits."""
+    chosen, first = block_bits(bits, blocks.stop)[blocks.start :], blocks.start
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         weights = np.int64(1) << np.arange(bits, dtype=np.int64)
@@ -356,13 +358,13 @@ def block_rows(sets: DataFrame, bits: int, blocks: int) -> DataFrame:
                 words = np.frombuffer(b"".join(part.column(1).to_pylist()), dtype="<i8").reshape(-1, WIDE)
                 spread = np.unpackbits(words.view(np.uint8).reshape(len(words), -1), axis=1, bitorder="little")
                 value = (spread[:, chosen] * weights).sum(axis=2)
-                n = blocks
+                n = len(chosen)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.tile(np.arange(n, dtype=np.int32), len(words))), pa.array(value.reshape(-1)), pa.array(np.repeat(part.column(0).to_numpy(), n)), pa.array(np.repeat(words[:, 0], n)), pa.array(np.repeat(words[:, 1], n))],
-                    ["c", "m", "sid", "f0", "f1"],
+                    [pa.array(np.tile(np.arange(first, first + n, dtype=np.int32), len(words))), pa.array(value.reshape(-1)), pa.array(np.repeat(part.column(0).to_numpy(), n)), pa.array(np.repeat(words[:, 0], n)), pa.array(np.repeat(words[:, 1], n))],
+                    ["c", "m", "name", "f0", "f1"],
                 )
 
-    return sets.select("sid", "bits").mapInArrow(make, "c int, m bigint, sid bigint, f0 bigint, f1 bigint")
+    return sets.select("name", "bits").mapInArrow(make, "c int, m bigint, name bigint, f0 bigint, f1 bigint")
 
 
 def exact_forest(words: np.ndarray, sets: list[np.ndarray], distance: int) -> list[tuple[int, int]]:
@@ -422,16 +424,20 @@ def similar_rows(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", sh
     20 bits or more (see :func:`block_plan`): two documents that share any of them (a pair at 0.8 with probability 0.99,
     at 0.85 with more than 0.999) and differ in at most ``distance`` of 128 bits are candidates. Components of candidates
     bring the texts together, in chunks of bounded size and pairs of chunks; there the sets themselves decide each link.
-    A fingerprint belongs to a set, named by the hash of the set, so equal sets are one row everywhere.
+    Large groups are connected by the first few blocks already; after these, rows bear their component's name, and the
+    other blocks give links between components only. A fingerprint belongs to a set, named by the hash of the set, so equal sets are one row everywhere.
     """
     wide = cut(wide_fingerprints(docs, doc_id, text, shingle))
     first = F.min(F.struct(F.isnull("doc_id").alias("none"), "doc_id", "th")).alias("least")
     distinct = cut(wide.groupBy("sid").agg(first, F.first("size").alias("size"), F.first("bits").alias("bits")))
     rows = distinct.count()
     bits, blocks = block_plan(rows)
-    keyed = block_rows(distinct, bits, blocks)
-    loose = cut(components(bucket_links(keyed, ["sid", "f0", "f1"], distance, rows * blocks, max_run)).withColumnRenamed("node", "of"))
-    sets = cut(distinct.join(loose, F.col("sid") == F.col("of"), "left").select("sid", "least", "size", "bits", F.coalesce("root", "sid").alias("root")))
+    sets = distinct.withColumn("name", F.col("sid"))
+    for some in (range(min(FIRST_BLOCKS, blocks)), range(min(FIRST_BLOCKS, blocks), blocks)):
+        found = bucket_links(block_rows(sets, bits, some), ["name", "f0", "f1"], distance, rows * len(some), max_run)
+        loose = cut(components(found))
+        sets = cut(sets.join(loose, F.col("name") == F.col("node"), "left").select("sid", "least", "size", "bits", F.coalesce("root", "name").alias("name")))
+    sets = sets.withColumnRenamed("name", "root")
     groups = sets.groupBy("root").agg(F.count("*").alias("n"), F.ceil(F.sum("size") / max_shingles).cast("int").alias("chunks")).filter("n > 1").select(F.col("root").alias("of"), "chunks")
     live = sets.join(groups, F.col("root") == F.col("of")).select("sid", "root", "chunks", "bits", F.col("least.doc_id").alias("lid"), F.col("least.th").alias("lth"))
     texts = docs.select(F.col(doc_id).alias("id"), F.xxhash64(F.col(text)).alias("th"), F.col(text).cast("string").alias("text"))
