@@ -35,7 +35,7 @@ MAX_DOCS = 20
 MIN_CONSTANT = 0.5
 MIN_WILD = 4
 LONG = 50
-MAX_BROADCAST = 2_000_000
+MAX_BROADCAST = 500_000
 SALTS = 8
 
 
@@ -122,7 +122,11 @@ def _worded(f) -> Column:
 def recurring_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", max_docs: int = MAX_DOCS, min_constant: float = MIN_CONSTANT, long: int = LONG, max_broadcast: int = MAX_BROADCAST) -> DataFrame:
     """(id, th, gone): per document and text hash, the sorted places of the lines to drop; no row if there are none."""
     even = docs.select(F.col(doc_id).alias("id"), F.xxhash64(F.col(text)).alias("th"), even_lines(F.col(text)).alias("e"))
-    facts = _worded(lambda s, i: F.struct(i.alias("at"), F.xxhash64(s).alias("vh"), (spaces(s) >= long - 1).alias("long"), leaves_of(masked(s)).alias("l")))
+    # the masked line is made first, as leaves_of names it more than once
+    facts = F.transform(
+        _worded(lambda s, i: F.struct(i.alias("at"), s.alias("s"), masked(s).alias("line"))),
+        lambda x: F.struct(x["at"].alias("at"), F.xxhash64(x["s"]).alias("vh"), (spaces(x["s"]) >= long - 1).alias("long"), leaves_of(x["line"]).alias("l")),
+    )
     # one narrow row per line: all counting starts from these
     rows = cut(_exploded(even.select("id", "th", facts.alias("v")), F.col("v"), "x").select("id", "th", "x.*"))
     verbatim = _but_first(rows.drop("l"), "vh", F.when(F.col("long"), 1).otherwise(max_docs), max_broadcast)
