@@ -36,9 +36,9 @@ from pyspark.sql import functions as F
 
 from clauseloom.llm.common import by_value, cut
 
-DEPTH = 6
+DEPTH = 5
 MIN_COUNT = 8
-MIN_SHARE = 2e-6
+MIN_SHARE = 5e-6
 MIN_GAIN = 12.0
 HEAD_SHARE = 1e-6
 END = 0xFF  # no byte of UTF-8
