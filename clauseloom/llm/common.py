@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import sys
 
 from pyspark import cloudpickle
@@ -57,6 +58,12 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def release(spark: SparkSession) -> None:
+    """Has the driver drop the shuffle files of frames that are gone; else they stay on disk until it happens to collect."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def rounded(col: Column, digits: int = 6) -> Column:
     return F.round(col, digits)
 

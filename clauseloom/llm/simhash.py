@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from clauseloom.llm.common import by_value, cut
+from clauseloom.llm.common import by_value, cut, release
 
 SHINGLE = 3
 DISTANCE = 3
@@ -427,6 +427,7 @@ def similar_rows(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", sh
     Large groups are connected by the first few blocks already; after these, rows bear their component's name, and the
     other blocks give links between components only. A fingerprint belongs to a set, named by the hash of the set, so equal sets are one row everywhere.
     """
+    release(docs.sparkSession)
     wide = cut(wide_fingerprints(docs, doc_id, text, shingle))
     first = F.min(F.struct(F.isnull("doc_id").alias("none"), "doc_id", "th")).alias("least")
     distinct = cut(wide.groupBy("sid").agg(first, F.first("size").alias("size"), F.first("bits").alias("bits")))
@@ -437,6 +438,8 @@ def similar_rows(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", sh
         found = bucket_links(block_rows(sets, bits, some), ["name", "f0", "f1"], distance, rows * len(some), max_run)
         loose = cut(components(found))
         sets = cut(sets.join(loose, F.col("name") == F.col("node"), "left").select("sid", "least", "size", "bits", F.coalesce("root", "name").alias("name")))
+        del found, loose
+        release(docs.sparkSession)
     sets = sets.withColumnRenamed("name", "root")
     groups = sets.groupBy("root").agg(F.count("*").alias("n"), F.ceil(F.sum("size") / max_shingles).cast("int").alias("chunks")).filter("n > 1").select(F.col("root").alias("of"), "chunks")
     live = sets.join(groups, F.col("root") == F.col("of")).select("sid", "root", "chunks", "bits", F.col("least.doc_id").alias("lid"), F.col("least.th").alias("lth"))
@@ -447,6 +450,8 @@ def similar_rows(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", sh
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     exact = dealt.repartition(n, *key).sortWithinPartitions(*key).mapInArrow(exact_links(shingle, distance), "a bigint, b bigint").distinct()
     roots = cut(components(exact).select(F.col("node").alias("of"), F.col("root").alias("top")))
+    del exact
+    release(docs.sparkSession)
     named = sets.select("sid", "least").join(roots, F.col("sid") == F.col("of"), "left").select("sid", "least", F.coalesce("top", "sid").alias("top"), F.col("top").isNotNull().alias("linked"))
     firsts = named.filter("linked").groupBy("top").agg(F.min("least").alias("first"))
     found = named.join(firsts, "top", "left").select(F.col("sid").alias("of"), F.coalesce("first", "least").alias("least"))
