@@ -6,8 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Clause types by first letter, with the names used for clauses and those used for headings.
-CLAUSE_TYPES = {"a": "annex", "c": "clause", "m": "technique", "o": "objective", "r": "requirement", "s": "scope", "t": "term", "u": "clause", "x": "root"}
-HEADING_TYPES = {"c": "clause", "o": "objective", "r": "requirement", "s": "scope definition", "t": "term definition", "u": "clause", "m": "technique", "a": "annex", "x": "root"}
+CLAUSE_TYPES = {"a": "abbreviation", "c": "clause", "m": "technique / measure", "o": "objective", "r": "requirement", "s": "scope", "t": "term", "u": "text", "x": "root"}
+HEADING_TYPES = {"u": "text", "r": "requirement", "s": "scope definition", "o": "objective", "t": "term definition", "c": "clause"}
 #: What stands in for a missing title or text, by type.
 DEFAULT_TITLES = {"r": "REQUIREMENT", "s": "SCOPE", "o": "OBJECTIVE", "t": "TERM", "c": "CLAUSE", "m": "TECHNIQUE"}
 #: Ids of rows that structure files may hold, and of clauses.

@@ -16,6 +16,7 @@ DOMAINS = "com net org io gov edu me".split()
 GENERIC = ["TOC", "REQUIREMENT", "OBJECTIVE", "SCOPE", "TERM"]
 #: Words that tell a clause's type.
 TYPE_WORDS = {"r": "shall", "o": "objective", "s": "scope"}
+#: References to clauses in running text, to standards of any number and of five digits.
 REFERENCE = r"[A-Z]+\s+\d{4,5}-?\d*:\d{4}\s+[1-9A-Z][0-9.]*"
 STRICT_REFERENCE = r"[A-Z]+\s+\d{5}-?\d*:\d{4}\s+[1-9A-Z][0-9.]*"
 
@@ -101,19 +102,22 @@ def heading_state(display: Column, alternatives: Column) -> Column:
 
 
 # --- model replies --------------------------------------------------------------------------------------------------
-#: How a model's reply lists headings (group 1 is kept) and which lines of its replies are chatter.
-REPLY_LINES = {"numbered": r"^\d+\.\s+\**([^*]+)\**", "extractive": r"^(?:\d+\.\s+)?(.+)$"}
-REPLY_SKIP = r"(?i)^\s*(?:here (?:is|are)\b.*|sure\b.*|summary:?\s*|\*\*.*\*\*:?\s*)$"
+#: The forms in which models list headings in their replies (group 1 is kept).
+QUOTED, NUMBERED = r'^[^"]*"(.+)"\W?$', r"^[1-9]\.\s+\*+([\w\s.&-/]+)\*+"
+#: Form by model; models that are not listed reply in numbered form. Our own extractive generator gives bare lines.
+REPLY_LINES = {"llama3.1": QUOTED, "nemotron": NUMBERED, "granite3-moe": QUOTED, "granite3-dense": QUOTED, "hf.co/ibm-granite/granite-8b-code-instruct-4k-GGUF": QUOTED, "extractive": r"^(?:\d+\.\s+)?(.+)$"}
+#: Lines of replies that are no part of a summary, by model.
+REPLY_SKIP = REPLY_LINES | {"llama3.1": r".*summary.*", "extractive": r"^\s*summary:?\s*$"}
 
 
 def reply_headings(reply: Column, model: str = "extractive") -> Column:
-    pattern = REPLY_LINES.get(model, REPLY_LINES["numbered"])
+    pattern = REPLY_LINES.get(model, NUMBERED)
     return F.filter(F.transform(F.split(reply, "\n"), lambda s: F.trim(F.regexp_extract(F.trim(s), pattern, 1))), lambda s: s != "")
 
 
-def trimmed_reply(reply: Column, skip: str = REPLY_SKIP) -> Column:
-    """Lines of a reply without chatter, and without blank lines at either end."""
-    lines = F.filter(F.split(reply, "\n"), lambda s: ~s.rlike(skip))
+def trimmed_reply(reply: Column, model: str = "extractive") -> Column:
+    """Lines of a reply without those that the model's form skips, and without blank lines at either end."""
+    lines = F.filter(F.split(reply, "\n"), lambda s: ~s.rlike(rf"(?i)\A(?:{REPLY_SKIP.get(model, NUMBERED).removeprefix('^')})"))
     used = F.filter(F.transform(lines, lambda s, i: F.when(F.trim(s) != "", i)), lambda i: i.isNotNull())
     return F.when(F.size(used) == 0, F.array().cast("array<string>")).otherwise(F.slice(lines, F.array_min(used) + 1, F.array_max(used) - F.array_min(used) + 1))
 

@@ -66,24 +66,33 @@ def select(candidates: DataFrame, choices: DataFrame) -> DataFrame:
     return candidates.join(chosen, ["clause_id", "heading"], "left").withColumn("status", F.when(F.col("chosen"), "selected").otherwise(F.col("status"))).drop("chosen")
 
 
-def summaries(clauses: DataFrame, generator: Generator = extractive, cached: DataFrame | None = None, force: bool = False) -> DataFrame:
+def materialised(df: DataFrame) -> DataFrame:
+    """``df`` in the checkpoint folder of the session (where unset, beside the warehouse), so that nothing above it runs again."""
+    sc, conf = df.sparkSession.sparkContext, df.sparkSession.conf
+    if sc._jsc.sc().getCheckpointDir().isEmpty():
+        sc.setCheckpointDir(conf.get("spark.checkpoint.dir", None) or f"{conf.get('spark.sql.warehouse.dir')}/_checkpoints")
+    return df.checkpoint(eager=True)
+
+
+def summaries(clauses: DataFrame, generator: Generator = extractive, cached: DataFrame | None = None, force: bool = False, model: str = "extractive") -> DataFrame:
     """(clause_id, summary): children first, so a clause's text is followed by its children's summaries.
 
-    ``clauses`` (clause_id, parent_id, level, ord, value). One pass per level; those in ``cached`` are not asked for again.
+    ``clauses`` (clause_id, parent_id, level, ord, value). One pass per level, materialised, so that the generator is
+    called once for each clause; those in ``cached`` are not asked for at all.
     """
-    top = clauses.agg(F.max("level")).first()[0] or 0
     known = None if force or cached is None else cached.select("clause_id", F.col("summary").alias("old"))
-    done = None
-    for level in range(top, -1, -1):
+    done, below = None, None
+    for level in range(clauses.agg(F.max("level")).first()[0] or 0, -1, -1):
         here = clauses.filter(F.col("level") == level)
-        if done is not None:
-            below = done.groupBy(F.col("parent_id").alias("p")).agg(F.sort_array(F.collect_list(F.struct("ord", "summary"))).alias("c"))
-            here = here.join(below, F.col("clause_id") == F.col("p"), "left").withColumn("value", F.concat_ws(" ", "value", F.transform("c", lambda x: x["summary"]))).drop("p", "c")
-        asked = generate(here.select("clause_id", F.col("value").alias("text")), SUMMARY_PROMPT, generator).select("clause_id", F.array_join(tx.trimmed_reply(F.col("reply")), " ").alias("summary"))
-        result = here.select("clause_id", "parent_id", "level", "ord").join(asked, "clause_id")
-        if known is not None:
-            result = result.join(known, "clause_id", "left").withColumn("summary", F.coalesce("old", "summary")).drop("old")
-        done = result if done is None else done.unionByName(result)
+        if below is not None:
+            lists = below.groupBy(F.col("parent_id").alias("p")).agg(F.sort_array(F.collect_list(F.struct("ord", "summary"))).alias("c"))
+            here = here.join(lists, F.col("clause_id") == F.col("p"), "left").withColumn("value", F.concat_ws(" ", "value", F.transform("c", lambda x: x["summary"]))).drop("p", "c")
+        here = here.withColumn("old", F.lit(None).cast("string")) if known is None else here.join(known, "clause_id", "left")
+        here = materialised(here)
+        asked = generate(here.filter("old is null").select("clause_id", F.col("value").alias("text")), SUMMARY_PROMPT, generator)
+        asked = materialised(asked.select("clause_id", F.array_join(tx.trimmed_reply(F.col("reply"), model), " ").alias("new")))
+        below = here.join(asked, "clause_id", "left").select("clause_id", "parent_id", "ord", F.coalesce("old", "new").alias("summary"))
+        done = below if done is None else done.unionByName(below)
     return done.select("clause_id", "summary")
 
 

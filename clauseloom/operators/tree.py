@@ -80,21 +80,21 @@ def traverse(clauses: DataFrame, chapter: str = "chapter") -> DataFrame:
     return clauses.withColumn("dfs_key", ids.natural_key(F.col(chapter)))
 
 
-def fold_up(clauses: DataFrame, combine, levels: int = 8) -> DataFrame:
+def fold_up(clauses: DataFrame, combine, cut=lambda df: df) -> DataFrame:
     """Bottom-up fold over (clause_id, parent_id, level, ord, value): ``combine(value, children)`` gives a clause's result.
 
-    ``children`` are the children's results in order. One join per level of the hierarchy; depth, not size, bounds it.
+    ``children`` are the children's results in order. One join per level of the hierarchy, however deep; ``cut`` is given
+    each level's frame and may materialise it.
     """
-    top = min(levels, clauses.agg(F.max("level")).first()[0] or 0)
-    done = None
-    for level in range(top, -1, -1):
+    done, below = None, None
+    for level in range(clauses.agg(F.max("level")).first()[0] or 0, -1, -1):
         here = clauses.filter(F.col("level") == level)
-        if done is None:
+        if below is None:
             result = here.withColumn("children", F.array().cast("array<string>"))
         else:
-            lists = done.filter(F.col("level") == level + 1).groupBy("parent_id").agg(F.sort_array(F.collect_list(F.struct("ord", "result"))).alias("c"))
+            lists = below.groupBy("parent_id").agg(F.sort_array(F.collect_list(F.struct("ord", "result"))).alias("c"))
             lists = lists.select(F.col("parent_id").alias("p"), F.transform("c", lambda x: x["result"]).alias("children"))
             result = here.join(lists, here["clause_id"] == lists["p"], "left").drop("p").withColumn("children", F.coalesce("children", F.array().cast("array<string>")))
-        result = result.withColumn("result", combine(F.col("value"), F.col("children"))).drop("children")
-        done = result if done is None else done.unionByName(result)
+        below = cut(result.withColumn("result", combine(F.col("value"), F.col("children"))).drop("children"))
+        done = below if done is None else done.unionByName(below)
     return done

@@ -330,12 +330,6 @@ def parsed_weights(s: SparkSession, d: str) -> DataFrame:
     return files.parse_weights(rows).select(F.col("clause_id").alias("p_partkey"), "scat")
 
 
-@query("SELECT 'P' || p_partkey AS node_id, CASE WHEN p_size % 2 = 0 THEN 'requirement' ELSE 'annex' END AS node_type, CASE WHEN p_size % 2 = 0 THEN 'red' END AS view_color, CASE WHEN p_size > 10 THEN p_size / 10 ELSE 1 END AS view_size FROM part")
-def node_rows(s: SparkSession, d: str) -> DataFrame:
-    c = fx.table(s, d, "part").select(F.concat(F.lit("P"), "p_partkey").alias("clause_id"), F.when(F.col("p_size") % 2 == 0, "r").otherwise("a").alias("type"), (F.col("p_size") / 10).alias("resonance"))
-    return sinks.node_dump(c).select("node_id", "node_type", "view_color", "view_size")
-
-
 @query("SELECT 'TEXT;' || md5('P' || p_partkey) || ';P' || p_partkey || ';' || p_name || ';\"' || p_type || '~' || p_brand || '\"' AS line FROM part")
 def text_rows(s: SparkSession, d: str) -> DataFrame:
     return sinks.text_dump(fx.table(s, d, "part").select(F.concat(F.lit("P"), "p_partkey").alias("clause_id"), F.col("p_name").alias("heading"), F.array("p_type", "p_brand").alias("text"))).select("line")
@@ -364,3 +358,307 @@ def clause_summaries(s: SparkSession, d: str) -> DataFrame:
 def embedded_sentences(s: SparkSession, d: str) -> DataFrame:
     docs = fx.table(s, d, "documents").select(F.col("doc_id").alias("clause_id"), "text")
     return vectors.sentence_nodes(docs).select("clause_id", "sent_no", F.size("vec").alias("dim"))
+
+
+# --- files ------------------------------------------------------------------------------------------------------------
+@query("SELECT 'STD' || s_suppkey AS std_key, 2 + s_suppkey % 9 AS digits, CASE WHEN s_suppkey % 2 = 0 THEN 2011 ELSE 0 END AS original_year, s_name AS name, unnest(range(2)) AS vol_idx, unnest(['2018', '2020']) AS year, unnest(['c1 c2', 's' || s_suppkey]) AS items FROM supplier")
+def standard_volumes(s: SparkSession, d: str) -> DataFrame:
+    k = F.col("s_suppkey")
+    body = F.concat(F.lit("parent=REQ\ndigits="), 2 + k % 9, F.lit('\nname="'), "s_name", F.lit('"\n'), F.when(k % 2 == 0, "oyr=2011\n").otherwise("# none\n"), F.lit('structure=(\n"2018 c1 c2"\n"2020 s'), k, F.lit('"\n)\n'))
+    found = files.parse_standards(fx.table(s, d, "supplier").select(F.concat(F.lit("STD"), k).alias("std_key"), body.alias("value")))
+    return files.volumes(found).select("std_key", "digits", "original_year", "name", F.col("vol_idx").cast("long").alias("vol_idx"), "year", "items")
+
+
+@query("SELECT 'STD' || k AS std_key, CASE WHEN s_suppkey IS NULL THEN 3 ELSE 5 END AS digits, CASE WHEN s_suppkey IS NULL THEN 'ROOT' ELSE 'REQ' END AS parent, s_suppkey IS NULL AS missing FROM (SELECT unnest(range(1, 6)) * 7 AS k) LEFT JOIN (SELECT s_suppkey FROM supplier WHERE s_suppkey < 20) ON k = s_suppkey")
+def missing_standards(s: SparkSession, d: str) -> DataFrame:
+    body = fx.table(s, d, "supplier").filter("s_suppkey > 0 and s_suppkey < 20 and s_suppkey % 7 = 0").select(F.concat(F.lit("STD"), "s_suppkey").alias("std_key"), F.lit('parent=REQ\ndigits=5\nstructure=(\n"2018 c1"\n)\n').alias("value"))
+    every = files.with_missing(files.parse_standards(body), [f"STD{7 * k}" for k in range(1, 6)], "ROOT")
+    return every.select("std_key", "digits", "parent", (F.size("volumes") == 0).alias("missing"))
+
+
+_RECORDS = "SELECT 'STD' || p_size % 3 AS std_key, md5('P' || p_partkey) AS hash, 'P' || p_partkey AS clause_id, p_name AS title, CASE WHEN p_size % 2 = 0 THEN 'TOC' ELSE 'TEXT' END AS tag, p_size % 5 = 0 AS is_local FROM part WHERE p_size % 7 <> 0"
+
+
+def _records(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    cid = F.concat(F.lit("P"), "p_partkey")
+    tag = F.when(F.col("p_size") % 7 == 0, "NOTE").when(F.col("p_size") % 2 == 0, "TOC").otherwise("TEXT")
+    rows = fx.table(s, d, "part").select(F.concat(F.lit("STD"), F.col("p_size") % 3).alias("std_key"), F.concat_ws(";", tag, F.md5(cid), cid, "p_name", F.lit("r"), F.lit("")).alias("value"), (F.col("p_size") % 5 == 0).alias("is_local"))
+    return files.parse_records(rows)
+
+
+@query(f"SELECT std_key, hash, clause_id, title AS heading, 'r' AS marker, is_local FROM ({_RECORDS}) WHERE tag = 'TOC'")
+def toc_records(s: SparkSession, d: str) -> DataFrame:
+    return _records(s, d)[0]
+
+
+@query(f"SELECT std_key, hash, clause_id, title AS headline, 'r' AS text, is_local FROM ({_RECORDS}) WHERE tag = 'TEXT'")
+def text_records(s: SparkSession, d: str) -> DataFrame:
+    return _records(s, d)[1]
+
+
+@query("SELECT CAST(n_nationkey AS VARCHAR) AS series, CASE WHEN n_regionkey > 2 THEN n_regionkey || '-x' ELSE '' END AS part, 0 AS line_no, n_name AS line FROM nation")
+def markdown_names(s: SparkSession, d: str) -> DataFrame:
+    name = F.concat(F.lit("file:/a b/"), "n_nationkey", F.when(F.col("n_regionkey") > 2, F.concat(F.lit("-"), "n_regionkey", F.lit("-x"))).otherwise(""), F.lit(".md"))
+    return files.parse_markdown(fx.table(s, d, "nation").select(name.alias("path"), F.lit(0).alias("line_no"), F.col("n_name").alias("line")))
+
+
+@query("SELECT 'A' AS from_std, 'B' || n_nationkey AS to_std, 'equal' AS type, 'n ' || n_name AS note, CAST(n_nationkey AS VARCHAR) AS from_uid, n_name AS from_label, 'to' AS to_label, '07' AS to_uid FROM nation")
+def mapping_rows(s: SparkSession, d: str) -> DataFrame:
+    body = F.concat(F.lit('from="A"\nto=B'), "n_nationkey", F.lit('\ntype=equal\nnote="n '), "n_name", F.lit('"\nno row;here\n'), "n_nationkey", F.lit(" ; "), "n_name", F.lit(";to; 07\n"))
+    return files.parse_mappings(fx.table(s, d, "nation").select(body.alias("value")))
+
+
+_CACHED = "SELECT 'C ' || n_nationkey AS clause_id, CASE WHEN n_regionkey = 1 THEN ['1. **' || n_name || '**'] ELSE ['1. **' || n_name || '**', '2. **Other ' || n_regionkey || '**', 'chatter'] END AS lines FROM nation"
+
+
+def _cache(s: SparkSession, d: str) -> DataFrame:
+    n, top = fx.table(s, d, "nation"), F.concat(F.lit("# C "), "n_nationkey")
+    first = F.concat(F.lit("1. **"), "n_name", F.lit("**"))
+    body = F.when(F.col("n_regionkey") == 1, F.array(F.lit("stray"), top, F.lit(""), first)).otherwise(F.array(F.lit("stray"), top, first, F.concat(F.lit("2. **Other "), "n_regionkey", F.lit("**")), F.lit(" "), F.lit("chatter")))
+    return n.select(F.col("n_nationkey").alias("path"), F.posexplode(body).alias("line_no", "line"))
+
+
+@query(f"SELECT clause_id, array_to_string(lines, '|') AS lines FROM ({_CACHED})")
+def cached_summaries(s: SparkSession, d: str) -> DataFrame:
+    return files.cached_texts(_cache(s, d)).withColumn("lines", F.array_join("lines", "|"))
+
+
+# the numbered form's own set of characters holds the asterisk, so the last but one of those that close a heading stays
+@query(f"SELECT clause_id, regexp_extract(l, '\\*\\*(.*)\\*', 1) AS heading FROM (SELECT clause_id, unnest(lines) AS l FROM ({_CACHED})) WHERE l <> 'chatter'")
+def cached_headings(s: SparkSession, d: str) -> DataFrame:
+    return generate.cached_headings(files.blocks(_cache(s, d)), "nemotron").select("clause_id", "heading")
+
+
+@query("SELECT 'U' || s_suppkey AS uid, 'S ' || s_suppkey AS clause_id, md5('S ' || s_suppkey) AS hash FROM supplier WHERE s_suppkey % 3 <> 0")
+def uid_rows_known(s: SparkSession, d: str) -> DataFrame:
+    cid, sup = F.concat(F.lit("S "), "s_suppkey"), fx.table(s, d, "supplier")
+    rows = sup.select(F.md5(cid).alias("hash"), F.concat(F.lit("U"), "s_suppkey").alias("uid"), cid.alias("clause_id"))
+    return files.known_uids(rows, sup.filter("s_suppkey % 3 <> 0").select(cid.alias("clause_id")))
+
+
+# --- catalogue --------------------------------------------------------------------------------------------------------
+def _titled(s: SparkSession, d: str) -> DataFrame:
+    """Titles from data, from a former id, from a local overlay, or from the headline, by size modulo 4."""
+    p, k = fx.table(s, d, "part"), F.col("p_size") % 4
+    std, cid, old = F.when(k == 2, "L").otherwise("D"), F.concat(F.lit("IEC 61508-1:2010 "), "p_partkey"), F.concat(F.lit("old "), "p_partkey")
+    parsed = p.select(std.alias("std_key"), cid.alias("clause_id"), F.md5(cid).alias("hash"), F.md5(old).alias("legacy_hash"), F.lit("r").alias("type"), F.col("p_partkey").cast("string").alias("uid"), F.lit("1").alias("level"))
+    none = F.lit("")
+    toc = p.filter(k != 3).select(std.alias("std_key"), F.when(k == 1, F.md5(old)).otherwise(F.md5(cid)).alias("hash"), F.when(k == 2, "from data").otherwise(F.col("p_name")).alias("heading"), F.lit("r").alias("marker"), F.lit(False).alias("is_local"))
+    toc = toc.unionByName(p.filter(k == 2).select(std.alias("std_key"), F.md5(cid).alias("hash"), F.concat(F.lit("local "), "p_name").alias("heading"), F.lit("O").alias("marker"), F.lit(True).alias("is_local")))
+    texts = p.filter(k == 3).select(std.alias("std_key"), F.md5(cid).alias("hash"), F.col("p_brand").alias("headline"), F.concat(F.lit('"one~'), "p_type", F.lit('"')).alias("text"), F.lit(False).alias("is_local"))
+    texts = texts.unionByName(p.filter(k == 2).select(std.alias("std_key"), F.md5(cid).alias("hash"), none.alias("headline"), F.lit("kept").alias("text"), F.lit(True).alias("is_local")))
+    return ids.join_titles(parsed, toc, texts)
+
+
+_TITLED = """SELECT p_partkey, 'IEC 61508-1:2010 ' || p_partkey AS clause_id, CASE p_size % 4 WHEN 2 THEN 'local ' || p_name WHEN 3 THEN p_brand ELSE p_name END AS title,
+  CASE p_size % 4 WHEN 2 THEN '    kept' WHEN 3 THEN '    one' || chr(10) || '    ' || p_type ELSE '    REQUIREMENT' END AS text, CASE p_size % 4 WHEN 2 THEN 'R' ELSE 'r' END AS marker, CASE WHEN p_size % 4 = 2 THEN 'L' ELSE 'D' END AS std_key FROM part"""
+
+
+@query(f"SELECT clause_id, title, text, marker, CAST(p_partkey AS VARCHAR) AS locator, marker = 'R' AS marker_mismatch FROM ({_TITLED})")
+def overlaid_titles(s: SparkSession, d: str) -> DataFrame:
+    return _titled(s, d).select("clause_id", "title", "text", "marker", "locator", "marker_mismatch")
+
+
+@query(f"SELECT std_key, 'TOC;' || md5(clause_id) || ';' || clause_id || ';' || title || ';' || marker AS line FROM ({_TITLED})")
+def heading_file_lines(s: SparkSession, d: str) -> DataFrame:
+    return sinks.heading_data(_titled(s, d))
+
+
+@query(f"SELECT std_key, md5(clause_id) || ';' || std_key || '-' || p_partkey || ';' || clause_id AS line FROM ({_TITLED})")
+def uid_file_lines(s: SparkSession, d: str) -> DataFrame:
+    return sinks.uid_rows(_titled(s, d))
+
+
+@query(f"""SELECT std_key, CAST(p_partkey AS VARCHAR) AS uid, '1' AS level, 'r' AS type, substr(title, 1, 40) AS header, text, clause_id AS name, CAST(p_partkey AS VARCHAR) AS num_id, md5(clause_id) AS ref_id, clause_id AS keyword FROM ({_TITLED})""")
+def item_bodies(s: SparkSession, d: str) -> DataFrame:
+    field = lambda path: F.get_json_object("body", path)
+    return sinks.items(_titled(s, d)).select("std_key", "uid", "level", *[field(f"$.{n}").alias(a) for n, a in (("type", "type"), ("header", "header"), ("text", "text"), ("name", "name"), ("numID", "num_id"), ("refID", "ref_id"), ("reference.keyword", "keyword"))])
+
+
+@query("SELECT c_custkey, CASE WHEN c_custkey % 3 = 0 THEN 'too many levels' WHEN c_custkey % 3 = 1 AND c_custkey % 40 > 9 THEN 'multi-digit sub-level' END AS warning, CASE WHEN c_custkey % 3 = 2 THEN 'A.' || (c_custkey % 40) || '.2' WHEN c_custkey % 3 = 0 THEN '1.2.3.4.5.6' ELSE '1.2.3.4.' || (c_custkey % 40) END AS index, CASE WHEN c_custkey % 3 = 2 THEN '26.' || (c_custkey % 40) || '.2' END AS annex_level FROM customer")
+def item_warnings(s: SparkSession, d: str) -> DataFrame:
+    k = F.col("c_custkey")
+    item = F.when(k % 3 == 2, F.concat(F.lit("u26:A."), k % 40, F.lit(".2"))).when(k % 3 == 0, F.lit("1.2.3.4.5.6.7")).otherwise(F.concat(F.lit("1.2.3.4."), k % 40))
+    item = F.regexp_replace(item, "^u", "")
+    v = fx.table(s, d, "customer").select("c_custkey", F.lit("A 12345").alias("name"), F.lit("2018").alias("year"), F.lit(2011).alias("original_year"), F.lit(11).alias("digits"), F.lit(0).alias("part_shift"), F.lit(2).alias("part_digits"), item.alias("item"))
+    return ids.parse_items(v).select("c_custkey", "warning", "index", F.when(F.col("enum").isNotNull(), F.col("level")).alias("annex_level"))
+
+
+@query("SELECT n_nationkey, CASE n_regionkey WHEN 0 THEN 'is top level content' WHEN 1 THEN 'is a subclause of clause \"' || n_name || '\"' ELSE 'is contained in subclause \"' || n_name || '\" under \"TOP\"' END AS context FROM nation")
+def context_sentences(s: SparkSession, d: str) -> DataFrame:
+    return fx.table(s, d, "nation").select("n_nationkey", ids.context_sentence(F.col("n_name"), F.col("n_regionkey"), F.col("n_name"), F.lit("TOP")).alias("context"))
+
+
+@query("SELECT n_nationkey, unnest(['a', 'C', 'm', 'o', 'R', 's', 't', 'u', 'x']) AS type, unnest(['abbreviation', 'clause', 'technique / measure', 'objective', 'requirement', 'scope', 'term', 'text', 'root']) AS name, unnest([NULL, 'clause', NULL, 'objective', 'requirement', 'scope definition', 'term definition', 'text', NULL]) AS heading_name FROM nation")
+def type_names(s: SparkSession, d: str) -> DataFrame:
+    n = fx.table(s, d, "nation").select("n_nationkey", F.explode(F.split(F.lit("a C m o R s t u x"), " ")).alias("type"))
+    return n.select("n_nationkey", "type", ids.type_name(F.col("type")).alias("name"), ids.type_name(F.col("type"), True).alias("heading_name"))
+
+
+# --- Markdown and headings --------------------------------------------------------------------------------------------
+@query("SELECT p_partkey, CASE WHEN p_size % 3 = 0 THEN p_name WHEN p_size % 2 = 0 THEN p_brand ELSE 'none' END AS effective, CASE WHEN p_size % 3 = 0 AND p_size % 2 = 0 THEN 'mismatch' WHEN p_size % 3 = 0 THEN NULL WHEN p_size % 2 = 0 THEN 'overridden' ELSE 'none' END AS finding FROM part")
+def title_findings(s: SparkSession, d: str) -> DataFrame:
+    p = fx.table(s, d, "part")
+    heads = p.select(F.col("p_partkey").alias("clause_id"), F.when(F.col("p_size") % 3 == 0, F.col("p_name")).otherwise("").alias("title"))
+    listed = p.select(F.col("p_partkey").alias("clause_id"), F.when(F.col("p_size") % 2 == 0, F.col("p_brand")).otherwise("TOC").alias("title"))
+    return markdown.title_findings(heads, listed).select(F.col("clause_id").alias("p_partkey"), "effective", "finding")
+
+
+@query("SELECT p_partkey, unnest(range(4)) AS pos, unnest(['Dr. ' || p_brand || ' costs 3.5 units.', 'See example.com or U.S. law!', 'Is it \"ok?\"', 'Yes (Acme Inc. of ' || p_size || ')']) AS sentence FROM part")
+def split_sentences(s: SparkSession, d: str) -> DataFrame:
+    text = F.concat(F.lit("Dr. "), "p_brand", F.lit(" costs 3.5 units. See example.com\nor U.S. law! Is it \"ok?\" Yes (Acme Inc. of "), "p_size", F.lit(")"))
+    return fx.table(s, d, "part").select("p_partkey", F.posexplode(tx.sentences(text)).alias("pos", "sentence")).select("p_partkey", F.col("pos").cast("long").alias("pos"), "sentence")
+
+
+@query("SELECT p_partkey, 'A|B|' || p_name AS kept, CASE WHEN p_size % 2 = 0 THEN 'B' ELSE 'Own' END AS display, 'parsed' AS state FROM part")
+def heading_alternatives(s: SparkSession, d: str) -> DataFrame:
+    alt = F.array(*[F.struct(F.lit(h).alias("heading"), F.lit(st).alias("status"), F.lit("").alias("source")) for h, st in (("A", "generated"), ("B", "parsed"), ("A", "selected"))], F.struct(F.col("p_name").alias("heading"), F.lit("generated").alias("status"), F.lit("").alias("source")))
+    p = fx.table(s, d, "part").select("p_partkey", F.when(F.col("p_size") % 2 == 0, "TOC").otherwise("Own").alias("shown"), alt.alias("a"))
+    p = p.withColumn("display", tx.display_heading(F.col("shown"), F.col("a")))
+    return p.select("p_partkey", F.array_join(F.transform(tx.distinct_alternatives(F.col("a")), lambda x: x["heading"]), "|").alias("kept"), "display", tx.heading_state(F.col("display"), F.col("a")).alias("state"))
+
+
+@query("SELECT p_partkey, p_name || '*' AS numbered, p_brand AS quoted, 'Body ' || p_size || '|end' AS trimmed FROM part")
+def model_replies(s: SparkSession, d: str) -> DataFrame:
+    numbered = F.concat(F.lit("Sure:\n1. **"), "p_name", F.lit("**\nbye"))
+    quoted = F.concat(F.lit('Here: "'), "p_brand", F.lit('".\nplain'))
+    summary = F.concat(F.lit("Here is a Summary of it:\n\nBody "), "p_size", F.lit("\nend\n"))
+    text = lambda c: F.array_join(c, "|")
+    return fx.table(s, d, "part").select("p_partkey", text(tx.reply_headings(numbered, "nemotron")).alias("numbered"), text(tx.reply_headings(quoted, "llama3.1")).alias("quoted"), text(tx.trimmed_reply(summary, "llama3.1")).alias("trimmed"))
+
+
+@query("SELECT n_nationkey AS clause_id, 'Gamma Alpha Beta' AS heading, 'generated' AS status, 'extractive' AS source FROM nation WHERE n_regionkey > 0")
+def heading_offers(s: SparkSession, d: str) -> DataFrame:
+    none = F.filter(F.array(F.struct(F.lit("").alias("heading"), F.lit("").alias("status"), F.lit("").alias("source"))), lambda x: F.lit(False))
+    c = fx.table(s, d, "nation").select(F.col("n_nationkey").cast("string").alias("clause_id"), F.when(F.col("n_regionkey") > 0, "TOC").otherwise("Listed").alias("display"), none.alias("alternatives"), F.lit("gamma is alpha, alpha or beta: beta gamma and delta").alias("text"))
+    return generate.headings(c).withColumn("clause_id", F.col("clause_id").cast("int"))
+
+
+@query("SELECT n_nationkey AS clause_id, unnest(['A', 'B']) AS heading, CASE WHEN n_regionkey = 2 THEN unnest(['generated', 'selected']) ELSE 'generated' END AS status FROM nation")
+def chosen_headings(s: SparkSession, d: str) -> DataFrame:
+    n = fx.table(s, d, "nation")
+    offers = n.select(F.col("n_nationkey").alias("clause_id"), F.explode(F.split(F.lit("A B"), " ")).alias("heading"), F.lit("generated").alias("status"))
+    return generate.select(offers, n.filter("n_regionkey = 2").select(F.col("n_nationkey").alias("clause_id"), F.lit("B").alias("heading")))
+
+
+@query("SELECT r_regionkey || '|x' AS clause_id, r_name || ' is here.' AS reply FROM region")
+def compared_clusters(s: SparkSession, d: str) -> DataFrame:
+    pairs = fx.table(s, d, "region").select(F.col("r_regionkey").cast("string").alias("first"), F.lit("x").alias("second"), F.concat("r_name", F.lit(" is here. More.")).alias("first_text"), F.lit("Other text.").alias("second_text"))
+    return generate.compare(pairs)
+
+
+@query(f"""WITH {fx.TREE_SQL}, leaf AS (SELECT id, regexp_replace(id, '\\.[^.]*$', '') AS p FROM tree WHERE w = 3), n AS (SELECT t.id, regexp_replace(t.id, '\\.[^.]*$', '') AS p, 'Clause ' || t.id || coalesce(' Leaf ' || min(leaf.id) || '!', '') AS v FROM tree t LEFT JOIN leaf ON leaf.p = t.id WHERE w = 2 GROUP BY t.id),
+r AS (SELECT t.id, 'Clause ' || t.id || coalesce(' ' || arg_min(v, n.id), '') AS v FROM tree t LEFT JOIN n ON n.p = t.id WHERE w = 1 GROUP BY t.id)
+SELECT id AS clause_id, 'Leaf ' || id || '!' AS summary FROM leaf UNION ALL SELECT id, v FROM n UNION ALL SELECT id, v FROM r""")
+def folded_summaries(s: SparkSession, d: str) -> DataFrame:
+    c = fx.clause_tree(s, d).select(F.col("id").alias("clause_id"), (ids.depth(F.col("id")) + 1).alias("level"), F.col("id").alias("ord"))
+    c = c.withColumn("value", F.when(F.col("level") == 3, F.concat(F.lit("Leaf "), "clause_id", F.lit("! More."))).otherwise(F.concat(F.lit("Clause "), "clause_id")))
+    return generate.summaries(c.withColumn("parent_id", ids.parent_id(F.col("clause_id"), F.col("level"))))
+
+
+@query(f"""WITH {fx.TREE_SQL}, n AS (SELECT t.id, t.w, coalesce(string_agg(c.id || '()', ',' ORDER BY c.id), '') AS kids FROM tree t LEFT JOIN tree c ON regexp_replace(c.id, '\\.[^.]*$', '') = t.id AND c.w = 3 AND t.w = 2 GROUP BY t.id, t.w),
+r AS (SELECT t.id, string_agg(n.id || '(' || n.kids || ')', ',' ORDER BY n.id) AS kids FROM tree t LEFT JOIN n ON regexp_replace(n.id, '\\.[^.]*$', '') = t.id AND n.w = 2 WHERE t.w = 1 GROUP BY t.id)
+SELECT id AS clause_id, md5(id || '(' || kids || ')') AS result FROM n WHERE w > 1 UNION ALL SELECT id, md5(id || '(' || coalesce(kids, '') || ')') FROM r""")
+def folded_trees(s: SparkSession, d: str) -> DataFrame:
+    c = fx.clause_tree(s, d).select(F.col("id").alias("clause_id"), ids.depth(F.col("id")).alias("level"), F.col("id").alias("ord"), F.col("id").alias("value"))
+    done = tree.fold_up(c.withColumn("parent_id", ids.parent_path(F.col("clause_id"))), lambda v, kids: F.concat(v, F.lit("("), F.array_join(kids, ","), F.lit(")")))
+    return done.select("clause_id", F.md5("result").alias("result"))
+
+
+# --- tree, sinks ------------------------------------------------------------------------------------------------------
+@query(f"WITH {fx.TREE_SQL} SELECT DISTINCT string_split(id, '.')[1] AS series FROM tree WHERE w = 3")
+def listed_documents(s: SparkSession, d: str) -> DataFrame:
+    return tree.documents(fx.clause_tree(s, d).select(F.when(F.col("w") == 3, F.substring_index("id", ".", 1)).alias("series")))
+
+
+@query(f"WITH {fx.TREE_SQL}, k AS (SELECT id, string_split(id, '.') AS x FROM tree) SELECT id AS clause_id, row_number() OVER (ORDER BY x[1], coalesce(CAST(x[2] AS INTEGER), -1), coalesce(CAST(x[3] AS INTEGER), -1)) AS place FROM k")
+def traversal_order(s: SparkSession, d: str) -> DataFrame:
+    rows = tree.traverse(fx.clause_tree(s, d), "id").select(F.col("id").alias("clause_id"), "dfs_key")
+    # a running number for the comparison only; a traversal is sorted by its key, not numbered in one task
+    at = F.aggregate("dfs_key", F.lit(""), lambda a, x: F.concat(a, F.lpad(F.when(x["n"] < 2**31 - 1, x["n"].cast("string")).otherwise(x["s"]), 8, "0"), F.lit("/")))
+    from pyspark.sql import Window
+
+    return rows.select("clause_id", F.row_number().over(Window.orderBy(at)).cast("long").alias("place"))
+
+
+@query(f"WITH {fx.TREE_SQL} SELECT regexp_replace(id, '\\.[^.]*$', '') || ';' || id AS line FROM tree WHERE contains(id, '.')")
+def edge_lines(s: SparkSession, d: str) -> DataFrame:
+    c = fx.clause_tree(s, d).select(F.col("id").alias("clause_id"), (ids.depth(F.col("id")) + 1).alias("level"))
+    return sinks.edge_dump(tree.attach(c)[0])
+
+
+@query("SELECT 'P' || p_partkey AS clause_id, repeat('#', 1 + p_size % 3) || ' P' || p_partkey || ' ' || p_name || chr(10) || chr(10) || p_type || chr(10) || p_brand AS body FROM part")
+def printed_texts(s: SparkSession, d: str) -> DataFrame:
+    return sinks.text_print(fx.table(s, d, "part").select(F.concat(F.lit("P"), "p_partkey").alias("clause_id"), (1 + F.col("p_size") % 3).alias("level"), F.col("p_name").alias("heading"), F.array("p_type", "p_brand").alias("text")))
+
+
+@query("SELECT 'P' || p_partkey AS clause_id, '{\"clause_id\":\"P' || p_partkey || '\",\"size\":' || p_size || ',\"title\":\"' || p_name || '\"}' AS body FROM part")
+def json_bodies(s: SparkSession, d: str) -> DataFrame:
+    return sinks.json_rows(fx.table(s, d, "part").select(F.concat(F.lit("P"), "p_partkey").alias("clause_id"), F.col("p_size").alias("size"), F.col("p_name").alias("title")))
+
+
+@query(f"""SELECT id AS clause_id, id || ';' || CASE WHEN listed THEN name ELSE 'Gen' END || ';' || CASE WHEN listed THEN substr('ucxrotsma', k + 1, 1) ELSE upper(substr('ucxrotsma', k + 1, 1)) END || ';' ||
+  CASE k WHEN 0 THEN '(215,95,0,255)' WHEN 1 THEN '(215,95,0,255)' WHEN 2 THEN '(215,0,0,255)' WHEN 3 THEN '(215,135,255,255)' WHEN 4 THEN '(215,215,0,255)' WHEN 5 THEN '(135,135,255,255)' WHEN 6 THEN '(95,135,0,255)' WHEN 7 THEN '(255,255,0,255)' ELSE '' END ||
+  ';(' || z || ',' || z || ',' || z || ')' AS line FROM (SELECT 'P' || p_partkey AS id, p_name AS name, p_size % 9 AS k, p_size % 2 = 0 AS listed, CASE WHEN p_size > 4 THEN CAST(CAST(p_size AS DOUBLE) / 4 AS VARCHAR) ELSE '1' END AS z FROM part)""")
+def node_rows(s: SparkSession, d: str) -> DataFrame:
+    alt = F.array(F.struct(F.lit("Gen").alias("heading"), F.lit("generated").alias("status"), F.lit("m").alias("source")))
+    kind = F.expr("substring('ucxrotsma', p_size % 9 + 1, 1)")
+    c = fx.table(s, d, "part").select(F.concat(F.lit("P"), "p_partkey").alias("clause_id"), kind.alias("type"), F.when(F.col("p_size") % 2 == 0, F.col("p_name")).otherwise("TOC").alias("display"), alt.alias("alternatives"), (F.col("p_size") / 4).alias("resonance"))
+    return sinks.node_dump(c)
+
+
+@query("SELECT 'R' || n_regionkey AS parent, 'Q' || n_regionkey AS peer_parent, md5('| Clause | Score | RevScore | Peer |' || chr(10) || '|---|---|---|---|' || chr(10) || string_agg('| N' || lpad(CAST(n_nationkey AS VARCHAR), 2, '0') || ' | ' || (n_nationkey + 0.5) || ' | 0.25 | ' || n_name || ' |', chr(10) ORDER BY n_nationkey)) AS body_md5 FROM nation GROUP BY n_regionkey")
+def cluster_tables(s: SparkSession, d: str) -> DataFrame:
+    rows = fx.table(s, d, "nation").select(F.concat(F.lit("R"), "n_regionkey").alias("parent"), F.concat(F.lit("Q"), "n_regionkey").alias("peer_parent"), F.concat(F.lit("N"), F.lpad(F.col("n_nationkey").cast("string"), 2, "0")).alias("member"), F.col("n_name").alias("peer"), (F.col("n_nationkey") + F.lit(0.5).cast("double")).alias("score"), F.lit(0.25).cast("double").alias("revscore"))
+    return sinks.cluster_report(rows).select("parent", "peer_parent", F.md5("body").alias("body_md5"))
+
+
+# --- vectors, relations, links ----------------------------------------------------------------------------------------
+@query("SELECT 'P' || p_partkey AS clause_id, 'S' AS series, 'r' AS type, p_name AS heading, p_type || ' ' || p_brand AS text FROM part")
+def ingested_documents(s: SparkSession, d: str) -> DataFrame:
+    return vectors.documents(fx.table(s, d, "part").select(F.concat(F.lit("P"), "p_partkey").alias("clause_id"), F.lit("S").alias("series"), F.lit("r").alias("type"), F.col("p_name").alias("heading"), F.array(F.concat("p_type", F.lit("\0")), "p_brand").alias("text")))
+
+
+@query("SELECT p_partkey, CASE WHEN p_size % 2 = 0 THEN 0 ELSE p_size END AS score, CASE WHEN p_size % 3 = 0 THEN '-' ELSE p_name END AS doc_id FROM part")
+def retrieved_chunks(s: SparkSession, d: str) -> DataFrame:
+    return vectors.chunks(fx.table(s, d, "part").select("p_partkey", F.when(F.col("p_size") % 2 == 1, F.col("p_size").cast("double")).alias("score"), F.when(F.col("p_size") % 3 != 0, F.col("p_name")).alias("doc_id")))
+
+
+@query(f"""WITH {_FUSED}, own AS (SELECT clause_id FROM k WHERE domain = own AND rk = 1 AND clause_id = peer_id), done AS (SELECT DISTINCT clause_id, (domain + 1) % 3 AS domain FROM sv WHERE vec_id % 5 = 0),
+q AS (SELECT *, row_number() OVER (PARTITION BY clause_id, domain ORDER BY score DESC, peer_id) AS r FROM p WHERE domain <> own AND clause_id IN (SELECT clause_id FROM own) AND (clause_id, domain) NOT IN (SELECT (clause_id, domain) FROM done))
+SELECT clause_id AS src, peer_id AS dst, score FROM q WHERE r <= 3""")
+def relations_by_rule(s: SparkSession, d: str) -> DataFrame:
+    peers = _peers(s, d)
+    done = fx.sentence_vectors(s, d).filter("vec_id % 5 = 0").select("clause_id", ((F.col("domain") + 1) % 3).alias("domain"))
+    return relations.relate(peers, relations.self_identification(peers), done)
+
+
+@query("SELECT 's' || (s_suppkey % 10) AS src, 'd' || (s_suppkey % 3) AS dst, CAST(arg_max(s_suppkey * 2, s_suppkey) AS DOUBLE) AS score FROM supplier GROUP BY ALL")
+def memorized_relations(s: SparkSession, d: str) -> DataFrame:
+    k = F.col("s_suppkey")
+    return relations.memorized(fx.table(s, d, "supplier").select(F.concat(F.lit("s"), k % 10).alias("src"), F.concat(F.lit("d"), k % 3).alias("dst"), (k * 2).cast("double").alias("score"), k.alias("line_no")))
+
+
+@query(f"WITH {_FUSED}, m AS (SELECT parent, peer_parent, unnest(members) AS src FROM cl) SELECT m.src AS member, m.peer_parent, arg_max(dst, (score, dst)) AS peer, max(score) AS score FROM (SELECT DISTINCT src, peer_parent FROM m) m JOIN par USING (src, peer_parent) GROUP BY ALL")
+def cluster_scores(s: SparkSession, d: str) -> DataFrame:
+    rel = _relations(s, d)
+    return relations.cluster_scores(relations.clusters(rel, _domains(s, d), 3), rel)
+
+
+_CONTEXTS = "SELECT 'R' || n_regionkey AS first, 'Q' || n_regionkey AS second, n_nationkey AS k, n_name FROM nation"
+
+
+@query(f"""SELECT first, second, md5(string_agg('Head' || chr(10) || n_name, chr(10) || chr(10) ORDER BY 'A' || lpad(CAST(k AS VARCHAR), 2, '0'))) AS first_md5, md5(string_agg('Head' || chr(10) || lower(n_name), chr(10) || chr(10) ORDER BY 'B' || lpad(CAST(k AS VARCHAR), 2, '0'))) AS second_md5 FROM ({_CONTEXTS}) GROUP BY ALL""")
+def cluster_contexts(s: SparkSession, d: str) -> DataFrame:
+    n, two = fx.table(s, d, "nation"), F.lpad(F.col("n_nationkey").cast("string"), 2, "0")
+    first, second, member, peer = F.concat(F.lit("R"), "n_regionkey"), F.concat(F.lit("Q"), "n_regionkey"), F.concat(F.lit("A"), two), F.concat(F.lit("B"), two)
+    rows = n.select(first.alias("parent"), second.alias("peer_parent"), member.alias("member"), peer.alias("peer"))
+    known = n.select(member.alias("clause_id"), F.lit("Head").alias("heading"), F.col("n_name").alias("text")).unionByName(n.select(peer.alias("clause_id"), F.lit("Head").alias("heading"), F.lower("n_name").alias("text")))
+    told = relations.contexts(n.select(first.alias("first"), second.alias("second")).distinct(), rows, known)
+    return told.select("first", "second", F.md5("first_text").alias("first_md5"), F.md5("second_text").alias("second_md5"))
+
+
+@query("SELECT p_partkey, CASE p_size % 3 WHEN 0 THEN 'pattern' WHEN 1 THEN 'file' ELSE 'invalid' END AS kind FROM part")
+def reference_kinds(s: SparkSession, d: str) -> DataFrame:
+    k = F.col("p_size") % 3
+    return links.reference_kinds(fx.table(s, d, "part").select("p_partkey", F.when(k == 0, F.col("p_name")).alias("pattern"), F.when(k < 2, F.lit("a/b")).alias("path"))).select("p_partkey", "kind")

@@ -29,7 +29,11 @@ def _setting(body: Column, name: str) -> Column:
 
 def standards(spark: SparkSession, path: str) -> DataFrame:
     """std_key, parent, digits, part_shift, part_digits, name, original_year, volumes: one row per standard file."""
-    body = spark.read.text(path, wholetext=True).select(file_name(F.input_file_name()).alias("std_key"), "value")
+    return parse_standards(spark.read.text(path, wholetext=True).select(file_name(F.input_file_name()).alias("std_key"), "value"))
+
+
+def parse_standards(body: DataFrame) -> DataFrame:
+    """The same of (std_key, value), a file each."""
     number = lambda n: F.coalesce(_setting(F.col("value"), n).try_cast("int"), F.lit(DEFAULTS[n]))
     structure = F.regexp_extract("value", r"(?s)\bstructure=\((.*?)\n\)", 1)
     return body.select(
@@ -58,11 +62,13 @@ def volumes(found: DataFrame) -> DataFrame:
 
 def records(spark: SparkSession, path: str, local_path: str | None = None) -> tuple[DataFrame, DataFrame]:
     """TOC and TEXT records as (toc, texts); those under ``local_path`` are marked as local."""
-    def read(p: str, local: bool) -> DataFrame:
-        tagged = spark.read.text(p).select(file_name(F.input_file_name()).alias("std_key"), F.split("value", ";", -1).alias("f"))
-        return tagged.filter(F.get("f", F.lit(0)).isin("TOC", "TEXT")).withColumn("is_local", F.lit(local))
+    read = lambda p, local: spark.read.text(p).select(file_name(F.input_file_name()).alias("std_key"), "value", F.lit(local).alias("is_local"))
+    return parse_records(read(path, False) if local_path is None else read(path, False).unionByName(read(local_path, True)))
 
-    both = read(path, False) if local_path is None else read(path, False).unionByName(read(local_path, True))
+
+def parse_records(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(toc, texts) of lines (std_key, value, is_local); other lines are left out."""
+    both = rows.select("std_key", "is_local", F.split("value", ";", -1).alias("f")).filter(F.get("f", F.lit(0)).isin("TOC", "TEXT"))
     f = lambda k: F.get("f", F.lit(k))
     toc = both.filter(f(0) == "TOC").select("std_key", f(1).alias("hash"), f(2).alias("clause_id"), f(3).alias("heading"), f(4).alias("marker"), "is_local")
     texts = both.filter(f(0) == "TEXT").select("std_key", f(1).alias("hash"), f(2).alias("clause_id"), f(3).alias("headline"), f(4).alias("text"), "is_local")
@@ -89,8 +95,13 @@ def uid_map(spark: SparkSession, path: str) -> DataFrame:
 
 
 def relations(spark: SparkSession, path: str) -> DataFrame:
-    """(src, dst, score, line_no): relations in file order."""
-    each = lines(spark, path).filter(F.col("line") != "").withColumn("f", F.split("line", ";"))
+    """(src, dst, score, line_no): relations; line_no rises in the order of each file, but skips numbers.
+
+    Large files are read in splits. A line's number is its split's first byte and its place in the task: splits of a file
+    are whole but for the last one, and hold more bytes than lines.
+    """
+    place = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
+    each = spark.read.text(path).select("value", (F.col("_metadata.file_block_start") + place).alias("line_no")).filter(F.col("value") != "").withColumn("f", F.split("value", ";"))
     return each.select(F.get("f", F.lit(0)).alias("src"), F.get("f", F.lit(1)).alias("dst"), F.get("f", F.lit(2)).try_cast("double").alias("score"), "line_no")
 
 
@@ -125,7 +136,12 @@ def check_weights(rows: DataFrame, sentence_counts: DataFrame) -> DataFrame:
 
 def markdown(spark: SparkSession, path: str) -> DataFrame:
     """(series, part, line_no, line) of files named series[-part].md."""
-    named = lines(spark, path, "*.md").withColumn("name", F.regexp_replace(file_name(F.col("path")), r"\.md$", ""))
+    return parse_markdown(lines(spark, path, "*.md"))
+
+
+def parse_markdown(rows: DataFrame) -> DataFrame:
+    """The same of numbered lines (path, line_no, line)."""
+    named = rows.withColumn("name", F.regexp_replace(file_name(F.col("path")), r"\.md$", ""))
     return named.select(F.substring_index("name", "-", 1).alias("series"), F.when(F.col("name").contains("-"), F.expr("substring(name, instr(name, '-') + 1)")).otherwise("").alias("part"), "line_no", "line")
 
 
@@ -149,7 +165,11 @@ def cached_texts(rows: DataFrame) -> DataFrame:
 
 def mappings(spark: SparkSession, path: str) -> DataFrame:
     """from_std, to_std, type, note, from_uid, from_label, to_label, to_uid of mapping files."""
-    body = spark.read.text(path, wholetext=True)
+    return parse_mappings(spark.read.text(path, wholetext=True))
+
+
+def parse_mappings(body: DataFrame) -> DataFrame:
+    """The same of (value), a file each."""
     parts = [_setting(F.col("value"), n).alias(a) for n, a in (("from", "from_std"), ("to", "to_std"), ("type", "type"), ("note", "note"))]
     rows = body.select(*parts, F.explode(F.split("value", r"\r?\n")).alias("line")).withColumn("f", F.split("line", ";", -1)).filter(F.size("f") == 4)
     return rows.select("from_std", "to_std", "type", "note", *[F.trim(F.get("f", F.lit(k))).alias(n) for k, n in enumerate(("from_uid", "from_label", "to_label", "to_uid"))])

@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from clauseloom.functions import ids
 from clauseloom.functions import text as tx
 
 #: View colours by clause type; other types have none.
-COLOURS = {"c": "blue", "m": "purple", "o": "green", "r": "red", "s": "orange", "t": "yellow", "u": "gray", "x": "black"}
+COLOURS = {
+    "u": "(215,95,0,255)", "c": "(215,95,0,255)", "x": "(215,0,0,255)", "r": "(215,135,255,255)", "o": "(215,215,0,255)", "t": "(135,135,255,255)", "s": "(95,135,0,255)", "m": "(255,255,0,255)",
+}
 
 
 def items(titled: DataFrame) -> DataFrame:
@@ -26,18 +28,24 @@ def uid_rows(titled: DataFrame) -> DataFrame:
     return titled.select("std_key", F.concat_ws(";", "hash", F.concat("std_key", F.lit("-"), "uid"), "clause_id").alias("line"))
 
 
+def marker(clauses: DataFrame) -> Column:
+    """The clause's type, in upper case if its heading was neither listed nor parsed."""
+    authored = tx.heading_state(F.col("display"), F.col("alternatives")).isin("loaded", "parsed")
+    return F.when(authored, F.col("type")).otherwise(F.upper("type"))
+
+
 def heading_dump(clauses: DataFrame) -> DataFrame:
     """(dfs_key, line) of clauses (clause_id, type, display, alternatives, dfs_key): TOC;md5;id;heading;type."""
     heading = tx.best_heading(F.col("display"), F.col("alternatives"))
-    authored = tx.heading_state(F.col("display"), F.col("alternatives")).isin("loaded", "parsed")
-    marker = F.when(authored, F.col("type")).otherwise(F.upper("type"))
-    return clauses.select("dfs_key", F.concat_ws(";", F.lit("TOC"), F.md5("clause_id"), "clause_id", heading, marker).alias("line"))
+    return clauses.select("dfs_key", F.concat_ws(";", F.lit("TOC"), F.md5("clause_id"), "clause_id", heading, marker(clauses)).alias("line"))
 
 
 def node_dump(clauses: DataFrame) -> DataFrame:
-    """node_id, view_label, node_type, view_color, view_size of clauses (clause_id, type, resonance)."""
-    size = F.round(F.when(F.col("resonance") > 1, F.col("resonance")).otherwise(1.0), 6)
-    return clauses.select(F.col("clause_id").alias("node_id"), F.col("clause_id").alias("view_label"), ids.type_name(F.col("type")).alias("node_type"), ids.lookup(F.lower("type"), COLOURS).alias("view_color"), size.alias("view_size"))
+    """(clause_id, line) of clauses (clause_id, type, display, alternatives, resonance): id;heading;type;colour;(size,size,size)."""
+    size = F.when(F.col("resonance") > 1, F.col("resonance").cast("string")).otherwise("1")
+    heading, kind = tx.best_heading(F.col("display"), F.col("alternatives")), marker(clauses)
+    body = F.concat(F.lit("("), F.concat_ws(",", size, size, size), F.lit(")"))
+    return clauses.select("clause_id", F.concat_ws(";", "clause_id", heading, kind, F.coalesce(ids.lookup(F.lower("type"), COLOURS), F.lit("")), body).alias("line"))
 
 
 def edge_dump(edges: DataFrame, key: str = "dfs_key") -> DataFrame:

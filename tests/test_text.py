@@ -41,8 +41,8 @@ def test_headings(spark):
 
 
 def test_replies(spark):
-    r = spark.range(1).select(tx.reply_headings(F.lit("1. **Some Heading**\nchatter\n2. Other"), "numbered").alias("h"), tx.trimmed_reply(F.lit("Here is a summary:\n\nText a\n\nText b\n\n")).alias("t")).first()
-    assert r.h == ["Some Heading", "Other"] and r.t == ["Text a", "", "Text b"]
+    r = spark.range(1).select(tx.reply_headings(F.lit("1. **Some Heading**\nchatter\n2. *Other*"), "unknown").alias("h"), tx.trimmed_reply(F.lit("Here is a summary:\n\nText a\n\nText b\n\n"), "llama3.1").alias("t")).first()
+    assert r.h == ["Some Heading*", "Other"] and r.t == ["Text a", "", "Text b"]
 
 
 def test_segments(spark):
@@ -147,7 +147,7 @@ def test_files(spark, tmp_path):
     cache.write_text("lost\n# c 1\n1. **One**\n\n# c 2\nx\ny\n")
     rows = files.lines(spark, str(cache))
     assert {r.clause_id: r.lines for r in files.cached_texts(rows).collect()} == {"c 1": ["1. **One**"], "c 2": ["x", "y"]}
-    assert [r.heading for r in generate.cached_headings(files.blocks(rows), "numbered").collect()] == ["One"]
+    assert [r.heading for r in generate.cached_headings(files.blocks(rows), "nemotron").collect()] == ["One*"]
     m = tmp_path / "mapping1"
     m.write_text('from="A"\nto="B"\ntype="t"\nnote="n"\n12;x;y;034\n')
     maps = files.mappings(spark, str(m))
@@ -197,3 +197,25 @@ def test_nodes_and_neighbours(spark, tmp_path):
     vectors.save_index(nodes, str(tmp_path / "i"))
     assert vectors.load_index(spark, str(tmp_path / "i"), "d").count() == 3
     assert vectors.chunks(spark.createDataFrame([(None, None)], "score double, doc_id string")).first().doc_id == "-"
+
+
+def test_summaries_ask_once_for_each_clause_however_deep(spark, tmp_path):
+    """A tree of 12 levels: every clause is there, and the generator is called once for each of them."""
+    calls = tmp_path / "calls"
+    calls.mkdir()
+
+    def counting(prompt, text):
+        import uuid
+
+        (calls / uuid.uuid4().hex).write_text(text)
+        return text.split(" ")[0]
+
+    rows = [(f"c{k}", f"c{k - 1}" if k else None, k, "a", f"v{k}") for k in range(12)] + [("d", "c0", 1, "b", "vd")]
+    c = spark.createDataFrame(rows, "clause_id string, parent_id string, level int, ord string, value string")
+    got = {r.clause_id: r.summary for r in generate.summaries(c, counting).collect()}
+    assert got == {r[0]: r[4] for r in rows} and len(list(calls.iterdir())) == 13
+    cached = spark.createDataFrame([("c5", "known")], "clause_id string, summary string")
+    again = {r.clause_id: r.summary for r in generate.summaries(c, counting, cached).collect()}
+    assert again["c5"] == "known" and len(list(calls.iterdir())) == 13 + 12
+    folded = tree.fold_up(c, lambda v, kids: F.concat(v, F.array_join(kids, "")))
+    assert {r.clause_id: r.result for r in folded.collect()}["c0"] == "v0" + "".join(f"v{k}" for k in range(1, 12)) + "vd" and folded.count() == 13
