@@ -76,25 +76,27 @@ FROM d LEFT JOIN cov USING (doc_id) LEFT JOIN its USING (doc_id)"""
 
 
 def licenses_sql() -> str:
-    idf, postings = licenses.index()
     rows, labels = [], []
     for t, (label, notice, key) in enumerate(licenses.TEMPLATES):
-        parts = notice.split()
-        lead, size = len(f" {notice} "[: f" {notice} ".index(f" {key} ")].split()), len(key.split())
-        whole = sum(idf[x] for x in parts)
-        labels.append(f"({t}, '{label}')")
-        rows += [f"({t}, {j}, '{x}', {idf[x] / whole!r}::DOUBLE, {str(x in postings).lower()}, {str(lead <= j < lead + size).lower()})" for j, x in enumerate(parts)]
+        lead, size = licenses.key_place(notice, key), len(key.split())
+        labels.append(f"({t}, '{label}', {size})")
+        rows += [f"({t}, {j}, '{x}', {str(lead <= j < lead + size).lower()})" for j, x in enumerate(notice.split())]
     base = [f"('{label}', {j}, '{x}', {len(p.split())})" for p, label in licenses.BASE.items() for j, x in enumerate(p.split())]
     return f"""
 WITH w AS (SELECT doc_id, {alnum('text')} AS w FROM documents),
-p(t, pos, word, weight, rare, iskey) AS (VALUES {', '.join(rows)}),
-l(t, label) AS (VALUES {', '.join(labels)}),
+p0(t, pos, word, iskey) AS (VALUES {', '.join(rows)}),
+l(t, label, size) AS (VALUES {', '.join(labels)}),
 b(label, pos, word, n) AS (VALUES {', '.join(base)}),
 o AS (SELECT doc_id, unnest(w) AS word, unnest(range(len(w))) AS i FROM w),
-c AS (SELECT DISTINCT doc_id, t, i - pos AS s FROM o JOIN p ON o.word = p.word AND p.rare WHERE i >= pos),
-v AS (SELECT c.doc_id, c.t, c.s, round(sum(CASE WHEN x.word = p.word THEN weight ELSE 0 END), 6) AS score, bool_and(NOT iskey OR coalesce(x.word = p.word, false)) AS ok
-  FROM c JOIN p ON c.t = p.t LEFT JOIN o x ON x.doc_id = c.doc_id AND x.i = c.s + p.pos GROUP BY c.doc_id, c.t, c.s),
-m AS (SELECT doc_id, label, least(1.0, score) AS score FROM v JOIN l USING (t) WHERE ok AND score >= {licenses.MIN_SCORE}),
+v0 AS (SELECT DISTINCT word FROM p0),
+df AS (SELECT word, count(DISTINCT doc_id) AS n FROM o JOIN v0 USING (word) GROUP BY word),
+idf AS (SELECT word, round(1 + ln(((SELECT count(*) FROM w) + 1)::DOUBLE / (coalesce(n, 0) + 1)), 9) AS idf FROM v0 LEFT JOIN df USING (word)),
+p AS (SELECT t, pos, word, iskey, idf, idf / sum(idf) OVER (PARTITION BY t) AS weight FROM p0 JOIN idf USING (word)),
+a AS (SELECT t, word, pos, row_number() OVER (PARTITION BY t ORDER BY idf DESC, word) AS r FROM (SELECT t, word, min(pos) AS pos, any_value(idf) AS idf FROM p WHERE iskey GROUP BY t, word)),
+c AS (SELECT doc_id, t, i - pos AS s FROM o JOIN a ON o.word = a.word AND r = 1 INTERSECT SELECT doc_id, t, i - pos FROM o JOIN a ON o.word = a.word AND r = 2),
+k AS (SELECT c.doc_id, c.t, c.s FROM c JOIN p ON c.t = p.t AND p.iskey JOIN o ON o.doc_id = c.doc_id AND o.i = c.s + p.pos AND o.word = p.word JOIN l ON l.t = c.t GROUP BY c.doc_id, c.t, c.s, l.size HAVING count(*) = l.size),
+h AS (SELECT DISTINCT k.doc_id, k.t, k.s, p.pos, p.weight FROM k JOIN p ON k.t = p.t JOIN o ON o.doc_id = k.doc_id AND o.word = p.word AND o.i BETWEEN k.s + p.pos - {licenses.SLACK} AND k.s + p.pos + {licenses.SLACK}),
+m AS (SELECT doc_id, label, least(1.0, score) AS score FROM (SELECT doc_id, t, s, round(sum(weight), 6) AS score FROM h GROUP BY doc_id, t, s) JOIN l USING (t) WHERE score >= {licenses.MIN_SCORE}),
 bs AS (SELECT doc_id, i - pos AS s, label FROM o JOIN b ON o.word = b.word GROUP BY doc_id, s, label, n HAVING count(*) = n),
 ba AS (SELECT doc_id, count(*) AS n_base, min(s) AS first_word, max(s) AS last_word, string_agg(DISTINCT label, ',' ORDER BY label) AS base_labels FROM bs GROUP BY doc_id),
 la AS (SELECT doc_id, string_agg(DISTINCT label, ',' ORDER BY label) AS labels FROM (SELECT doc_id, label FROM bs UNION ALL SELECT doc_id, label FROM m) GROUP BY doc_id),
