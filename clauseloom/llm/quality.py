@@ -50,16 +50,12 @@ def base_profile(docs: DataFrame, text: str = "text", keep: list[Column] | None
     two = one.select(*kept, F.size("h").cast("long").alias("n_words"), "word_chars", "n_symbols", "n_dup_lines", "h", joined_hashes(F.col("h"), F.col("h"), 1).alias("h2"))
     four = two.select(*profile, "h", joined_hashes(F.col("h2"), F.col("h2"), 2).alias("h4"))
     five = four.select(*profile, joined_hashes(F.col("h4"), F.col("h"), 4).alias("h"))
-    bits = F.length(F.bin(F.size("h").cast("long")))
-    h = F.col("h")
-    codes = five.select(*profile, "h", bits.alias("b"), F.when(F.size(F.array_distinct(h)) < F.size(h), F.lit(True)).alias("again"))
-    codes = codes.select(*profile, F.when(F.col("again"), h).alias("h"), F.when(F.col("again"), F.pow(F.lit(2), F.col("b")).cast("long")).alias("m"))
-    m, h = F.col("m"), F.col("h")
-    packed = codes.select(*profile, "h", "m", F.sort_array(F.transform(h, lambda x, i: x - F.pmod(x, m) + i)).alias("c"))
-    c = F.col("c")
-    at = lambda k: F.get(h, F.pmod(F.get(c, k), m).cast("int"))
-    same = F.transform(c, lambda x, k: F.when((at(k) == at(k + 1)) | (at(k) == at(k - 1)), F.pmod(x, m)))
-    places = packed.select(*profile, F.sort_array(F.filter(same, lambda x: x.isNotNull())).alias("s"))
+    h, c = F.col("h"), F.col("c")
+    places = F.sort_array(F.transform(h, lambda x, i: F.struct(x.alias("h"), i.cast("long").alias("i"))))
+    sorted_ = five.select(*profile, F.when(F.size(F.array_distinct(h)) < F.size(h), places).alias("c"))
+    hash_at = lambda k: F.get(c, k)["h"]
+    same = F.transform(c, lambda x, k: F.when((hash_at(k + 1) == x["h"]) | (hash_at(k - 1) == x["h"]), x["i"]))
+    places = sorted_.select(*profile, F.sort_array(F.filter(same, lambda x: x.isNotNull())).alias("s"))
     s = F.col("s")
     repeat = F.aggregate(F.zip_with(s, F.slice(s, 2, F.greatest(F.size(s), F.lit(1))), lambda x, y: F.least(F.coalesce(y - x, F.lit(5)), F.lit(5)).cast("long")), F.lit(0).cast("long"), lambda x, y: x + y)
     out = places.select(*profile, F.coalesce(repeat, F.lit(0)).alias("n_repeat_words"))

@@ -79,6 +79,16 @@ def test_quality_profile(docs, texts):
     assert len(got[15]) == 3 and len(got[None]) == 2
 
 
+@pytest.mark.parametrize("vocabulary", [12, 40, 5000])
+def test_quality_profile_of_a_text_of_300000_words(spark, vocabulary):
+    rnd = random.Random(vocabulary)
+    words = [str(rnd.randrange(vocabulary)) for _ in range(300_000)]
+    words[200_000:200_100] = words[:100]
+    text = " ".join(words)
+    r = quality.op1_quality_rules(spark.createDataFrame([(1, text, "h")], "doc_id long, text string, source string")).first()
+    assert (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words) == profile(text)
+
+
 def test_quality_line_frequency(spark):
     line = "This common line of the host has quite a few words in it"
     own = lambda i: " ".join(f"own{i}x{k}" for k in range(12))
