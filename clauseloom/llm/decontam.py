@@ -19,18 +19,28 @@ from pyspark.sql import functions as F
 from clauseloom.llm.common import alnum_words
 
 WINDOW = 13
+CHUNK = 64
 MAX_BROADCAST = 1_000_000
 MAX_BYTES = 256 << 20
 MIN_SHARE = 20
 
 
 def _windows(df: DataFrame, lengths: list[int], *cols: str) -> DataFrame:
-    """One row per window of the array ``w``: ``cols``, at (start, -1 for the row that stands for the text), len, h."""
-    n = F.size("w")
-    starts = [F.when(n >= size, F.transform(F.sequence(F.lit(0), n - size), lambda i: i * 16 + size)).otherwise(F.array().cast("array<int>")) for size in lengths]
-    coded = df.select(*cols, "w", F.explode(F.concat(F.array(F.lit(-1)), *starts)).alias("code"))
-    at, size = F.shiftright("code", 4), F.col("code") % 16
-    return coded.select(*cols, "w", at.alias("at"), size.alias("len"), F.xxhash64(size, *[F.when(size > k, F.get("w", at + k)) for k in range(WINDOW)]).alias("h"))
+    """One row per window of the array ``w``: ``cols``, n (words), at (start, -1 for the row that stands for the text), len, h.
+
+    Windows come out of chunks of ``CHUNK`` starts, so a row holds the words of a chunk (c; i: the start there), not those of its text.
+    """
+    n, m = F.size("w"), F.size("c")
+    none = F.array().cast("array<int>")
+    bases = F.sequence(F.lit(0), F.greatest(n - 1, F.lit(0)), F.lit(CHUNK))
+    chunk = F.transform(bases, lambda s: F.struct(s.alias("base"), F.slice("w", s + 1, CHUNK + WINDOW - 1).alias("c")))
+    parts = df.select(*cols, n.alias("n"), F.explode_outer(chunk).alias("part")).select(*cols, "n", "part.base", "part.c")
+    starts = [F.when(m >= size, F.transform(F.sequence(F.lit(0), F.least(m - size, F.lit(CHUNK - 1))), lambda i: i * 16 + size)).otherwise(none) for size in lengths]
+    own = F.when(F.col("base") == 0, F.array(F.lit(-1))).otherwise(none)
+    coded = parts.select(*cols, "n", "base", "c", F.explode_outer(F.concat(own, *starts)).alias("code")).filter("code is not null")
+    i, size = F.shiftright("code", 4), F.col("code") % 16
+    at = F.when(F.col("code") < 0, -1).otherwise(F.col("base") + i)
+    return coded.select(*cols, "n", "c", i.alias("i"), at.alias("at"), size.alias("len"), F.xxhash64(size, *[F.when(size > k, F.get("c", i + k)) for k in range(WINDOW)]).alias("h"))
 
 
 def _verified(read: DataFrame, bench: DataFrame, lengths: list[int]) -> tuple[DataFrame, Column, Column]:
@@ -43,8 +53,8 @@ def _verified(read: DataFrame, bench: DataFrame, lengths: list[int]) -> tuple[Da
     places = narrow.join(hashes, F.col("h") == F.col("bh"), "left_semi")
     by_text = places.groupBy(F.col("doc_id").alias("pid"), F.col("th").alias("pth")).agg(F.collect_list(F.struct("at", "len", "h")).alias("places"))
     texts = read.dropDuplicates(["doc_id", "th"]).join(by_text, F.col("doc_id").eqNullSafe(F.col("pid")) & (F.col("th") == F.col("pth")))
-    spot = F.col("x")
-    cut = texts.select("doc_id", "th", "w", F.explode("places").alias("x")).select("doc_id", "th", spot["at"].alias("at"), spot["len"].alias("len"), spot["h"].alias("h"), F.slice("w", spot["at"] + 1, spot["len"]).alias("cut"))
+    spot = lambda x: F.struct(x["at"].alias("at"), x["len"].alias("len"), x["h"].alias("h"), F.slice("w", x["at"] + 1, x["len"]).alias("cut"))
+    cut = texts.select("doc_id", "th", F.explode_outer(F.transform("places", spot)).alias("x")).select("doc_id", "th", "x.*")
     found = cut.join(bench, (F.col("h") == F.col("bh")) & (F.col("cut") == F.col("words"))).select("doc_id", "th", F.lit(None).cast("int").alias("n"), "at", "len", "items")
     own = read.select("doc_id", "th", F.size("w").alias("n"), F.lit(-1).alias("at"), F.lit(-1).alias("len"), F.lit(None).cast("array<string>").alias("items"))
     return own.unionByName(found), F.col("at") >= 0, F.col("n").cast("long")
@@ -55,9 +65,9 @@ def contamination(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id",
     items = benchmark.select(F.col(item_id).cast("string").alias("item"), alnum_words(F.col(item_text)).alias("w")).filter(F.size("w") > 0)
     short = [r[0] for r in items.filter(F.size("w") < WINDOW).select(F.size("w")).distinct().collect()]  # at most 12 values
     lengths = sorted({*short, WINDOW})
-    spans = _windows(items, lengths, "item").filter((F.col("at") >= 0) & ((F.col("len") == WINDOW) | (F.col("len") == F.size("w"))))
+    spans = _windows(items, lengths, "item").filter((F.col("at") >= 0) & ((F.col("len") == WINDOW) | (F.col("len") == F.col("n"))))
     bench = (
-        spans.select("h", F.slice("w", F.col("at") + 1, F.col("len")).alias("words"), "item")
+        spans.select("h", F.slice("c", F.col("i") + 1, F.col("len")).alias("words"), "item")
         .groupBy("h", "words").agg(F.array_sort(F.collect_set("item")).alias("items"))
         .withColumnRenamed("h", "bh")
     )
@@ -66,8 +76,8 @@ def contamination(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id",
     if size["n"] <= max_broadcast and (size["b"] or 0) <= max_bytes:
         rows = _windows(read, lengths, "doc_id", "th")
         joined = rows.join(F.broadcast(bench), F.col("h") == F.col("bh"), "left").filter((F.col("at") < 0) | F.col("bh").isNotNull())
-        same = F.col("words").isNotNull() & (F.slice("w", F.greatest(F.col("at"), F.lit(0)) + 1, F.greatest(F.col("len"), F.lit(0))) == F.col("words"))
-        n_words = F.size("w").cast("long")
+        same = F.col("words").isNotNull() & (F.slice("c", F.greatest(F.col("i"), F.lit(0)) + 1, F.greatest(F.col("len"), F.lit(0))) == F.col("words"))
+        n_words = F.col("n").cast("long")
     else:
         joined, same, n_words = _verified(read, bench, lengths)
     hits = joined.select("doc_id", "th", n_words.alias("n_words"), F.when(same, F.struct("at", "len")).alias("hit"), F.when(same, F.col("items")).alias("items"), (F.col("at") < 0).alias("own"))

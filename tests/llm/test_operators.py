@@ -357,6 +357,19 @@ def test_decontamination(spark, docs, texts, max_broadcast):
     assert decontam.contamination(docs.limit(0), bench).count() == 0
 
 
+@pytest.mark.parametrize("max_broadcast", [10**6, 0])
+def test_decontamination_of_very_long_texts(spark, max_broadcast):
+    rnd = random.Random(3)
+    words = [f"w{rnd.randrange(3000)}" for _ in range(200_000)]
+    # windows across, at and beside the borders of chunks, short items, and a long passage
+    items = [(i, " ".join(words[at : at + size])) for i, (at, size) in enumerate([(0, 13), (51, 13), (52, 14), (63, 13), (64, 13), (126, 3), (127, 1), (199_980, 20), (70_000, 9_000)])]
+    texts = [" ".join(words), " ".join(words[:64]), " ".join(words[:65]), " ".join(words[:76]), " ".join(words[127:128] * 129)]
+    rows = decontam.contamination(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"), max_broadcast=max_broadcast).collect()
+    assert len(rows) == len(texts)
+    for r in rows:
+        assert (r.n_words, r.n_hit, r.n_items, r.items_sha256, r.contaminated) == contaminated(texts[r.doc_id], items)
+
+
 # --- 6 ---------------------------------------------------------------------------------------------------------------
 def luhn(digits):
     odd = [int(c) for c in digits[-1::-2]]
