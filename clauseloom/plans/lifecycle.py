@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from clauseloom.functions import ids
 from clauseloom.functions import text as tx
-from clauseloom.operators import links, markdown, relations, tree, vectors
+from clauseloom.operators import generate, links, markdown, relations, tree, vectors
 from clauseloom.sources import files, sinks
 
 #: Document series by domain.
@@ -80,3 +80,36 @@ def mine(full: DataFrame, embed: vectors.Embedder | None = None, k: int = 10) ->
 
 def references(lines: DataFrame, uids: DataFrame, trim_dot: bool = False) -> dict[str, DataFrame]:
     return {"resolved": links.resolve(lines, uids, trim_dot), "lines": links.rewrite(lines, uids, trim_dot)}
+
+
+def headings(full: DataFrame, cached: DataFrame | None = None, generator: generate.Generator = generate.extractive, force: bool = False) -> dict[str, DataFrame]:
+    """Candidates for clauses with a text whose title says nothing; those with candidates in a cache (path, line_no, line) are not asked for."""
+    none = F.array().cast("array<struct<heading:string,status:string,source:string>>")
+    wanted = full.filter("text is not null").select("clause_id", F.col("title").alias("display"), none.alias("alternatives"), tx.joined(F.col("text")).alias("text"))
+    if cached is None or force:
+        return {"headings": generate.headings(wanted, generator, force=force)}
+    old = generate.cached_headings(files.blocks(cached))
+    new = generate.headings(wanted.join(old.select("clause_id").distinct(), "clause_id", "left_anti"), generator)
+    return {"headings": old.drop("line_no").unionByName(new)}
+
+
+def summaries(full: DataFrame, cached: DataFrame | None = None, generator: generate.Generator = generate.extractive, force: bool = False) -> dict[str, DataFrame]:
+    """A summary of each clause, its children's first; those in a cache (path, line_no, line) are not asked for."""
+    rows = full.select("clause_id", ids.parent_id(F.col("clause_id"), F.col("level")).alias("parent_id"), "level", ids.natural_key(F.col("chapter")).alias("ord"), F.coalesce(tx.joined(F.col("text")), F.lit("")).alias("value"))
+    old = None if cached is None else files.cached_texts(cached).select("clause_id", F.array_join("lines", "\n").alias("summary"))
+    return {"summaries": generate.summaries(rows, generator, old, force)}
+
+
+def compare(full: DataFrame, related: DataFrame, generator: generate.Generator = generate.extractive, least: int = relations.CLUSTER) -> dict[str, DataFrame]:
+    """Each pair of parents with a cluster once, with a comparison of their clauses' headings and texts."""
+    peers = relations.memorized(files.known_relations(related, full)[0])
+    found = relations.clusters(peers, full, least)
+    pairs = relations.comparisons(found, full.select("clause_id", "domain"))
+    told = relations.contexts(pairs, relations.cluster_rows(found, peers), full.select("clause_id", F.col("title").alias("heading"), tx.joined(F.col("text")).alias("text")))
+    return {"contexts": told, "comparisons": generate.compare(told, generator)}
+
+
+def curated(mappings: DataFrame, uids: DataFrame, standards: DataFrame) -> dict[str, DataFrame]:
+    """Curated links of mapping rows; ``uids`` as of a UID map ('standard-number'), ``standards`` with their digits."""
+    known = uids.select(F.regexp_replace("uid", "-[^-]*$", "").alias("std_key"), F.substring_index("uid", "-", -1).alias("uid"), "clause_id")
+    return {"curated": links.curated(mappings, known, standards.select("std_key", "digits").distinct())}

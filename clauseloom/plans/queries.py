@@ -341,14 +341,16 @@ def regenerated_markdown(s: SparkSession, d: str) -> DataFrame:
     return sinks.regenerated(c).select("series", F.md5("body").alias("body_md5"))
 
 
-@query()
+@query("""WITH w AS (SELECT doc_id, lower(unnest(x)) AS w, generate_subscripts(x, 1) AS i FROM (SELECT doc_id, regexp_extract_all(text, '\\p{L}{4,}') AS x FROM documents)),
+b AS (SELECT doc_id, w, count(*) AS n, min(i) AS i FROM w GROUP BY ALL), t AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, w) AS rk FROM b)
+SELECT CAST(doc_id AS VARCHAR) AS clause_id, string_agg(upper(w[1]) || w[2:], ' ' ORDER BY i) AS heading, 'generated' AS status, 'extractive' AS source FROM t WHERE rk <= 3 GROUP BY doc_id""")
 def generated_headings(s: SparkSession, d: str) -> DataFrame:
     empty = F.filter(F.array(F.struct(F.lit("").alias("heading"), F.lit("").alias("status"), F.lit("").alias("source"))), lambda x: F.lit(False))
     c = fx.table(s, d, "documents").select(F.col("doc_id").cast("string").alias("clause_id"), F.lit("TOC").alias("display"), empty.alias("alternatives"), "text")
     return generate.headings(c)
 
 
-@query()
+@query(f"WITH {fx.TREE_SQL} SELECT id AS clause_id, 'Clause ' || id || '.' AS summary FROM tree")
 def clause_summaries(s: SparkSession, d: str) -> DataFrame:
     c = fx.clause_tree(s, d).select(F.col("id").alias("clause_id"), (ids.depth(F.col("id")) + 1).alias("level"), F.col("id").alias("ord"), F.concat(F.lit("Clause "), "id", F.lit(". More.")).alias("value"))
     return generate.summaries(c.withColumn("parent_id", ids.parent_id(F.col("clause_id"), F.col("level"))))

@@ -44,3 +44,26 @@ def test_runs(spark, tmp_path):
     assert read("r/lines")[0].line == f"See [{ids[1]}](../requirements/IEC61508.html#IEC61508-1) and >>EN 50129:2018 5<<"
     main(["links", str(rel), str(ref), "--out", str(tmp_path / "l")])
     assert [(r.src, r.dst) for r in read("l/pairs")] == [(ids[1], ids[4])]
+
+    main(["summaries", str(content), str(md), "--out", str(tmp_path / "s")])
+    told = {r.clause_id: r.summary for r in read("s/summaries")}
+    assert len(told) == 6 and told[ids[0]] == "About brakes." and told[ids[1]] == "The brake shall stop the wheel." and told[ids[5]] == ""
+    cache = tmp_path / "cache.md"
+    cache.write_text(f"# {ids[1]}\nKnown\n")
+    main(["summaries", str(content), str(md), "--cache", str(cache), "--out", str(tmp_path / "s2")])
+    assert {r.clause_id: r.summary for r in read("s2/summaries")} == told | {ids[1]: "Known"}
+    main(["headings", str(content), str(md), "--out", str(tmp_path / "h")])
+    assert {r.clause_id for r in read("h/headings")} == {ids[1], ids[4]} and {r.status for r in read("h/headings")} == {"generated"}
+    main(["headings", str(content), str(md), "--cache", str(cache), "--out", str(tmp_path / "h2")])
+    assert ("Known", ids[1]) in {(r.heading, r.clause_id) for r in read("h2/headings")} and len(read("h2/headings")) == len(read("h/headings"))
+    main(["compare", str(content), str(md), "--relations", str(rel), "--least", "1", "--out", str(tmp_path / "c")])
+    (pair,) = read("c/contexts")
+    assert (pair.first, pair.second) == (ids[3], ids[0]) and pair.first_text == "REQUIREMENT\nThe brake shall stop the wheel. Always." and pair.second_text.startswith("REQUIREMENT\nThe brake shall stop the wheel. It")
+    assert [(r.clause_id, r.reply) for r in read("c/comparisons")] == [(f"{ids[3]}|{ids[0]}", "REQUIREMENT\nThe brake shall stop the wheel.")]
+
+    (data / "ISO26262").write_text('parent=""\ndigits=2\nname="ISO 26262"\n')
+    mapping = tmp_path / "mapping"
+    mapping.write_text('from="IEC61508"\nto="ISO26262"\ntype="t"\nnote="n"\n000000001;x;y;4\n7;x;y;04\n')
+    ref.write_text(f"{md5(ids[1])};IEC61508-000000001;{ids[1]}\n{md5(ids[4])};ISO26262-04;{ids[4]}\n")
+    main(["curated", str(mapping), str(ref), str(data), "--out", str(tmp_path / "cu")])
+    assert {(r.from_uid, r.from_clause, r.to_uid, r.to_clause) for r in read("cu/curated")} == {("000000001", ids[1], "04", ids[4]), ("000000007", None, "04", ids[4])}
