@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -14,8 +15,9 @@ from pyspark.sql import functions as F
 from clauseloom.functions import text as tx
 
 Embedder = Callable[[list[str]], np.ndarray]
-#: Rows of a block of queries or nodes; two blocks and their scores are what a task holds.
-BLOCK = 4096
+#: Bytes of a block of queries or nodes as doubles, and scores that are made at once: two blocks and these are what a task
+#: holds. Each side moves once for each block of the other, so blocks are as large as memory allows.
+BLOCK_BYTES, SCORES, LEAST_BLOCK = 32 << 20, 4 << 20, 4096
 
 
 def hashed_embedder(dim: int = 64) -> Embedder:
@@ -59,15 +61,21 @@ def load_index(spark, path: str, domain: str | None = None) -> DataFrame:
     return nodes if domain is None else nodes.filter(F.col("domain") == domain)
 
 
-def top_k(queries: DataFrame, nodes: DataFrame, k: int = 10, block: int = BLOCK) -> DataFrame:
+def top_k(queries: DataFrame, nodes: DataFrame, k: int = 10, block: int | None = None) -> DataFrame:
     """(qid, domain, nid, score, rank): the k nodes of each domain nearest to each query by dot product, exact.
 
     ``queries`` (qid, qvec), ``nodes`` (nid, domain, nvec). Both sides are cut into blocks; each pair of blocks is one
-    matrix product that keeps its best k per query, and the best of the blocks' bests are ranked. Ties go to the
-    smaller nid.
+    matrix product, in slices, that keeps its best k per query, and the best of the blocks' bests are ranked. Ties go to
+    the smaller nid. ``block`` (rows) follows from the vectors' length
+    and leaves a pair of blocks for each core.
     """
-    nq = max(1, -(-queries.count() // block))
-    nn = max(1, -(-nodes.count() // block))
+    size = queries.agg(F.count("*").alias("n"), F.max(F.size("qvec")).alias("dim")).first()
+    n_nodes = nodes.count()
+    if block is None:
+        tasks = queries.sparkSession.sparkContext.defaultParallelism
+        block = min(max(1, BLOCK_BYTES // (8 * max(1, size["dim"] or 1))), max(LEAST_BLOCK, math.isqrt(size["n"] * n_nodes // tasks)))
+    nq = max(1, -(-size["n"] // block))
+    nn = max(1, -(-n_nodes // block))
     domains = nodes.select("domain").distinct().select(F.col("domain").alias("domain"))
     q = queries.withColumn("qb", F.pmod(F.xxhash64("qid"), F.lit(nq)).cast("int")).join(F.broadcast(domains))
     q = q.withColumn("nb", F.explode(F.sequence(F.lit(0), F.lit(nn - 1))))
@@ -80,12 +88,15 @@ def top_k(queries: DataFrame, nodes: DataFrame, k: int = 10, block: int = BLOCK)
         right = right.sort_values("nid", kind="stable")
         a = np.stack(left["qvec"].to_numpy()).astype(np.float64)
         b = np.stack(right["nvec"].to_numpy()).astype(np.float64)
-        scores = a @ b.T
-        m = min(k, scores.shape[1])
-        # all that reach the m-th best score, so that ties are settled below and not by the partition
-        least = -np.partition(-scores, m - 1, axis=1)[:, m - 1]
-        rows, cols = np.nonzero(scores >= least[:, None] - 1e-12)
-        out = pd.DataFrame({"qid": left["qid"].to_numpy()[rows], "nid": right["nid"].to_numpy()[cols], "score": scores[rows, cols]})
+        m, step = min(k, len(b)), max(1, SCORES // len(b))
+        parts = []
+        for at in range(0, len(a), step):
+            scores = a[at : at + step] @ b.T
+            # all that reach the m-th best score, so that ties are settled below and not by the partition
+            least = -np.partition(-scores, m - 1, axis=1)[:, m - 1]
+            rows, cols = np.nonzero(scores >= least[:, None] - 1e-12)
+            parts.append(pd.DataFrame({"qid": left["qid"].to_numpy()[at + rows], "nid": right["nid"].to_numpy()[cols], "score": scores[rows, cols]}))
+        out = pd.concat(parts)
         out["domain"] = right["domain"].iloc[0]
         out = out.sort_values(["qid", "score", "nid"], ascending=[True, False, True], kind="stable")
         return out.groupby("qid", sort=False).head(m)[["qid", "domain", "nid", "score"]]

@@ -114,7 +114,7 @@ def test_headings_are_generated_where_none_says_anything(spark):
     assert generate.generate(c, "x", lambda p, t: "").first().tries == generate.ATTEMPTS
 
 
-def test_retrieval_in_blocks(spark):
+def test_retrieval_in_blocks(spark, monkeypatch):
     import numpy as np
 
     rnd = np.random.default_rng(1)
@@ -122,7 +122,8 @@ def test_retrieval_in_blocks(spark):
     q = spark.createDataFrame([(i, v[i].tolist()) for i in range(20)], "qid long, qvec array<float>")
     n = spark.createDataFrame([(i, i % 2, v[i].tolist()) for i in range(60)], "nid long, domain int, nvec array<float>")
     exact = {(i, d): [j for j, _ in sorted(((j, float(v[i].astype(float) @ v[j].astype(float))) for j in range(60) if j % 2 == d), key=lambda x: (-x[1], x[0]))[:5]] for i in range(20) for d in (0, 1)}
-    for block in (7, 4096):
+    for block, scores in ((7, 1 << 20), (4096, 1 << 20), (None, 50), (40, 1)):
+        monkeypatch.setattr(vectors, "SCORES", scores)
         got = {}
         for r in vectors.top_k(q, n, 5, block).orderBy("rank").collect():
             got.setdefault((r.qid, r.domain), []).append(r.nid)
